@@ -13,10 +13,15 @@ from pyspark.sql import functions as F
 #   digits are inside, < = > @ [ ] { } « » — are outside).
 # EOL_TOKEN: the word appended to every stripped line.
 # LINE_BREAK: text-mode line iteration splits on LF, CRLF and CR.
+# WHITESPACE: the characters str.split() splits on (tab, LF, VT, FF, CR,
+#   U+001C..U+001F, space, U+0085, U+00A0, U+1680, U+2000..U+200A, U+2028,
+#   U+2029, U+202F, U+205F, U+3000), written so Java and RE2 read it alike.
 # ---------------------------------------------------------------------------
 TOKEN_PATTERN = r'[\p{L}\p{N}_,."-:?)(–;!]+'
 EOL_TOKEN = "endofline"
 LINE_BREAK = r"\r\n|\r|\n"
+WHITESPACE = (r"[\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+              r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+")
 
 
 def with_eol(line: Column) -> Column:
@@ -36,7 +41,7 @@ def line_tokens(line: Column) -> Column:
 
 def ws_tokens(line: Column) -> Column:
     """Whitespace split with empty pieces removed."""
-    return F.filter(F.split(line, r"\s+"), lambda x: x != F.lit(""))
+    return F.filter(F.split(line, WHITESPACE), lambda x: x != F.lit(""))
 
 
 def reverse_tokens(tokens: Column) -> Column:

@@ -36,3 +36,37 @@ def global_row_number(df: DataFrame, order: list[str | Column], name: str = "rn"
     off = F.create_map(*offsets) if offsets else F.create_map(F.lit(0), F.lit(0))
     local = F.col("_mid") - F.col("_pid").cast("bigint") * F.lit(_PID_SHIFT)
     return tagged.withColumn(name, (off[F.col("_pid")] + local).cast("bigint")).drop("_pid", "_mid")
+
+
+def global_cumsum(df: DataFrame, order: list[str | Column], value: str, out: str,
+                  partitions: int | None = None) -> DataFrame:
+    """``df`` plus ``out`` = sum of ``value`` over all rows before it in ``order`` (exclusive).
+
+    Same two passes as ``global_row_number``; the running sum inside a
+    partition is a pandas ``cumsum`` over the partition's sorted batches.
+    """
+    from pyspark import TaskContext
+    from pyspark.sql import types as T
+
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    fixed = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols).checkpoint(eager=True)
+    sums = sorted((r["_pid"], r["s"] or 0) for r in fixed.groupBy(F.spark_partition_id().alias("_pid"))
+                  .agg(F.sum(value).alias("s")).collect())
+    offsets, acc = {}, 0
+    for pid, s in sums:
+        offsets[pid] = acc
+        acc += s
+    schema = T.StructType(fixed.schema.fields + [T.StructField(out, T.LongType())])
+
+    def run(batches):
+        base = offsets.get(TaskContext.get().partitionId(), 0)
+        for pdf in batches:
+            v = pdf[value].fillna(0).astype("int64")
+            pdf[out] = (base + v.cumsum() - v).astype("int64")
+            base += int(v.sum())
+            yield pdf
+
+    return fixed.mapInPandas(run, schema)
