@@ -73,26 +73,49 @@ def trigram_counts(sents: DataFrame, k: int = K) -> DataFrame:
     return kgrams(sents, k).groupBy("w1", "w2", "w3").agg(F.count("*").alias("c"))
 
 
-def trigram_probs(counts: DataFrame) -> DataFrame:
+def trigram_probs(counts: DataFrame, first_flag: bool = False) -> DataFrame:
     """``(w1, w2, w3, c, p)`` with ``p = c / sum(c)`` over the context (D3).
 
     The window runs over *distinct* trigrams, so a hot context holds at most
     one row per distinct continuation (bounded by the vocabulary), and the
-    exchange on (w1, w2) is the only one after the count.
+    exchange on (w1, w2) is the only one after the count.  ``first_flag``
+    adds ``ctx_first`` (one row per context) from the same window.
     """
     ctx = Window.partitionBy("w1", "w2")
-    return counts.withColumn("p", F.col("c") / F.sum("c").over(ctx))
+    out = counts.withColumn("p", F.col("c") / F.sum("c").over(ctx))
+    if first_flag:
+        out = out.withColumn("ctx_first", F.row_number().over(ctx.orderBy("w3")) == 1)
+    return out
+
+
+def gram_counts(sents: DataFrame, k: int = K) -> DataFrame:
+    """``(w1, w2, w3, c)``: unigram rows ``(null, null, w)`` and trigram rows in one aggregation.
+
+    One scan and one tokenisation feed every model table; the partial
+    aggregation runs before the single exchange on (w1, w2, w3), and the
+    consumers below share that exchange.
+    """
+    t = F.col("tokens")
+    uni = F.transform(t, lambda w: F.struct(F.lit(None).cast("string").alias("w1"),
+                                            F.lit(None).cast("string").alias("w2"), w.alias("w3")))
+    idx = F.when(F.size(t) > k, F.sequence(F.lit(k), F.size(t) - 1)).otherwise(F.array().cast("array<int>"))
+    tri = F.transform(idx, lambda i: F.struct(F.element_at(t, i - 1).alias("w1"), F.element_at(t, i).alias("w2"),
+                                              F.element_at(t, i + 1).alias("w3")))
+    grams = sents.select(F.inline(F.concat(uni, tri)))
+    return grams.groupBy("w1", "w2", "w3").agg(F.count("*").alias("c"))
 
 
 def fit_trigram(sents: DataFrame, k: int = K) -> TrigramModel:
-    """C1 + C2 + C3 + D2 + D3."""
-    size = corpus_size(sents)
-    vocab = vocab_counts(sents)
+    """C1 + C2 + C3 + D2 + D3 in one pass over the corpus."""
+    counts = gram_counts(sents, k)
+    vocab = counts.where(F.col("w1").isNull()).select(F.col("w3").alias("word"), F.col("c").alias("n"))
+    size = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("corpus_size"))
     uni = unigram_probs(vocab, size)
-    tri = trigram_probs(trigram_counts(sents, k))
-    stats = tri.agg(
+    tri_flagged = trigram_probs(counts.where(F.col("w1").isNotNull()), first_flag=True)
+    tri = tri_flagged.drop("ctx_first")
+    stats = tri_flagged.agg(
         F.count("*").alias("n_trigrams"),
-        F.count_distinct("w1", "w2").alias("n_contexts"),
+        F.sum(F.col("ctx_first").cast("bigint")).alias("n_contexts"),
     )
     meta = size.crossJoin(vocab.agg(F.count("*").alias("vocab_size"))).crossJoin(stats)
     return TrigramModel(uni=uni, tri=tri, meta=meta)

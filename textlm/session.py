@@ -16,6 +16,9 @@ SCALE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
+    # a join side whose every shuffle partition measures under 64 MB is
+    # hashed instead of sorted (a measured bound, so no memory risk)
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": str(64 << 20),
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }

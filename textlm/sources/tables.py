@@ -15,8 +15,25 @@ from textlm.functions.text import line_tokens, split_lines
 GOOD, BAD = "good", "bad"
 
 
+TEXT_TABLES = ("documents", "benchmark", "conversations", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a text scan at least one partition per core.
+
+    Tokenising is CPU-bound per row, and a table stored in a few large row
+    groups scans into fewer tasks than cores.  Only then the raw rows (their
+    most compact form) are spread once by a round-robin exchange; on a
+    cluster the file splits already outnumber the cores and nothing changes.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    n = df.rdd.getNumPartitions()
+    return df.repartition(cores) if n < cores else df
 
 
 def lines_of(df: DataFrame, text_col: str = "text", key: str = "doc_id") -> DataFrame:
