@@ -198,3 +198,28 @@ def q_score_table(spark: SparkSession, sf: str) -> DataFrame:
 def q_extreme_texts(spark: SparkSession, sf: str) -> DataFrame:
     t = ppl.score_table(_texts(spark, sf, ppl.PROPAGATE))
     return ppl.extremes(t).select("side", "files", "label", r("perpl", PPL2_DIGITS))
+
+
+# ------------------------------------------------------------------ generation
+def _seeds(run):
+    from textlm.operators.generate import seed_contexts
+
+    return seed_contexts(run.test, ("doc_id", "line"))
+
+
+@query("generated_sample")
+def q_generated_sample(spark: SparkSession, sf: str) -> DataFrame:
+    from textlm.operators.generate import generate_sample
+
+    run = trigram_run(spark, sf)
+    g = generate_sample(_seeds(run), run.model, ("doc_id", "line"), seed=42)
+    return g.select("doc_id", F.col("line").cast("bigint").alias("line"), "w1", "w2", "next_word", "from_context")
+
+
+@query("generated_argmax")
+def q_generated_argmax(spark: SparkSession, sf: str) -> DataFrame:
+    from textlm.operators.generate import generate_argmax
+
+    run = trigram_run(spark, sf)
+    g = generate_argmax(_seeds(run), run.model, ("doc_id", "line"), seed=42)
+    return g.select("doc_id", F.col("line").cast("bigint").alias("line"), "w1", "w2", "next_word", "from_context")

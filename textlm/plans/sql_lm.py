@@ -199,3 +199,40 @@ SELECT * FROM (SELECT 'top' AS side, files, label, round(perpl, 6) AS perpl FROM
 UNION ALL
 SELECT * FROM (SELECT 'bottom' AS side, files, label, round(perpl, 6) AS perpl FROM st ORDER BY perpl ASC, files DESC LIMIT 5)
 """
+
+_U = ("('0x' || substr(md5('42:' || CAST(doc_id AS VARCHAR) || ':' || CAST(line AS VARCHAR)), 1, 12))::BIGINT"
+      " / 281474976710656.0::DOUBLE")
+GEN = f"""
+seeds AS (SELECT doc_id, line, tokens[1] AS w1, tokens[2] AS w2, {_U} AS u FROM test_sent WHERE len(tokens) >= 2),
+tri_c AS (
+  SELECT w1, w2, w3, c,
+         sum(c) OVER (PARTITION BY w1, w2 ORDER BY w3 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi,
+         sum(c) OVER (PARTITION BY w1, w2) AS total
+  FROM tri_counts
+),
+ctx_tot AS (SELECT DISTINCT w1, w2, total FROM tri_c),
+ucum AS (SELECT word, n, sum(n) OVER (ORDER BY word ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi FROM vocab),
+best AS (
+  SELECT w1, w2, w3 AS next_word FROM (
+    SELECT *, row_number() OVER (PARTITION BY w1, w2 ORDER BY c DESC, w3 ASC) AS r FROM tri_counts) WHERE r = 1
+),
+widx AS (SELECT word, row_number() OVER (ORDER BY n DESC, word ASC) - 1 AS id FROM vocab)
+"""
+SQL["generated_sample"] = with_(LINES, MODEL, GEN) + """
+SELECT k.doc_id, k.line::BIGINT AS line, k.w1, k.w2, t3.w3 AS next_word, TRUE AS from_context
+FROM (SELECT s.*, floor(s.u * c.total) AS t FROM seeds s JOIN ctx_tot c ON c.w1 = s.w1 AND c.w2 = s.w2) k
+JOIN tri_c t3 ON t3.w1 = k.w1 AND t3.w2 = k.w2 AND k.t >= t3.hi - t3.c AND k.t < t3.hi
+UNION ALL
+SELECT s.doc_id, s.line::BIGINT, s.w1, s.w2, u.word, FALSE
+FROM seeds s CROSS JOIN csize m
+JOIN ucum u ON floor(s.u * m.corpus_size) >= u.hi - u.n AND floor(s.u * m.corpus_size) < u.hi
+WHERE NOT EXISTS (SELECT 1 FROM ctx_tot c WHERE c.w1 = s.w1 AND c.w2 = s.w2)
+"""
+SQL["generated_argmax"] = with_(LINES, MODEL, GEN) + """
+SELECT s.doc_id, s.line::BIGINT AS line, s.w1, s.w2, b.next_word, TRUE AS from_context
+FROM seeds s JOIN best b ON b.w1 = s.w1 AND b.w2 = s.w2
+UNION ALL
+SELECT s.doc_id, s.line::BIGINT, s.w1, s.w2, w.word, FALSE
+FROM seeds s JOIN widx w ON w.id = floor(s.u * (SELECT count(*) FROM vocab))
+WHERE NOT EXISTS (SELECT 1 FROM best b WHERE b.w1 = s.w1 AND b.w2 = s.w2)
+"""
