@@ -224,3 +224,16 @@ SQL["bidirectional_perplexity"] = with_(LINES, BILM) + (
 SQL["unidirectional_perplexity"] = with_(LINES, BILM) + (
     "SELECT doc_id, label, n_steps, round(unidirectional, 4) AS perplexity FROM bilm"
 )
+
+from textlm.plans.sql_lm import GEN  # noqa: E402
+
+SQL["validation_loss"] = with_(LINES, MODEL, SEQ, GEN) + """
+, vw AS (
+  SELECT g.* FROM (SELECT doc_id, line, pos FROM seq_split WHERE split = 'val') v
+  JOIN train_grams g ON g.doc_id = v.doc_id AND g.line = v.line AND g.pos = v.pos
+)
+SELECT count(*)::BIGINT AS n, round(avg(-ln(t.p)), 9) AS loss,
+       round(avg(CAST(b.next_word = vw.w3 AS DOUBLE)), 9) AS accuracy
+FROM vw LEFT JOIN tri_p t ON t.w1 = vw.w1 AND t.w2 = vw.w2 AND t.w3 = vw.w3
+LEFT JOIN best b ON b.w1 = vw.w1 AND b.w2 = vw.w2
+"""
