@@ -223,3 +223,16 @@ def q_generated_argmax(spark: SparkSession, sf: str) -> DataFrame:
     run = trigram_run(spark, sf)
     g = generate_argmax(_seeds(run), run.model, ("doc_id", "line"), seed=42)
     return g.select("doc_id", F.col("line").cast("bigint").alias("line"), "w1", "w2", "next_word", "from_context")
+
+
+@query("shuffled_sentences")
+def q_shuffled_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """Two seeded passes over the document shards, numbered in pass order."""
+    from textlm.operators.rownum import global_row_number
+    from textlm.sources.files import shuffled_passes
+
+    lines = tables.lines_of(tables.table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "line")
+    p = shuffled_passes(lines, seed=42, passes=2)
+    ranked = global_row_number(p, ["pass", "order_key", "line"], "rank")
+    return ranked.select(F.col("pass").cast("bigint").alias("pass"), "doc_id",
+                         F.col("line").cast("bigint").alias("line"), "rank")

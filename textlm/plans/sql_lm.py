@@ -236,3 +236,11 @@ SELECT s.doc_id, s.line::BIGINT, s.w1, s.w2, w.word, FALSE
 FROM seeds s JOIN widx w ON w.id = floor(s.u * (SELECT count(*) FROM vocab))
 WHERE NOT EXISTS (SELECT 1 FROM best b WHERE b.w1 = s.w1 AND b.w2 = s.w2)
 """
+
+SQL["shuffled_sentences"] = with_(LINES) + """
+SELECT pass::BIGINT AS pass, doc_id, line::BIGINT AS line,
+       (row_number() OVER (ORDER BY pass, order_key, line) - 1)::BIGINT AS rank
+FROM (SELECT p.range AS pass, l.doc_id, l.line,
+             md5('42:' || CAST(p.range AS VARCHAR) || ':' || CAST(l.doc_id AS VARCHAR)) AS order_key
+      FROM doc_lines l CROSS JOIN range(2) p)
+"""
