@@ -82,3 +82,23 @@ def test_shuffled_passes(spark):
     assert p.count() == 45
     per = p.groupBy("pass", "doc_id").agg(F.countDistinct("order_key").alias("k")).collect()
     assert all(r.k == 1 for r in per)
+
+
+def test_neural_save_load(spark, tmp):
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    from textlm.operators import neural as nn
+
+    rows = spark.createDataFrame([([float(i % 3), float(i % 5)], float(i % 2)) for i in range(40)],
+                                 "f array<double>, label double").select(array_to_vector("f").alias("features"), "label")
+    model = nn.fit_neural(rows, 2, 4, 2, iters=5)
+    windex = spark.createDataFrame([("a", 0), ("b", 1)], "word string, id long")
+    size = spark.createDataFrame([(10,)], "corpus_size long")
+    sinks.save_neural(model, windex, size, f"{tmp}/nn", {"k": 2})
+    m2, w2, meta = sinks.load_neural(spark, f"{tmp}/nn")
+    assert [r.word for r in w2.collect()] == ["a", "b"] and meta.first().corpus_size == 10
+    a = [r.prediction for r in model.transform(rows).collect()]
+    b = [r.prediction for r in m2.transform(rows).collect()]
+    assert a == b
+    assert F is not None

@@ -27,6 +27,10 @@ class TrigramModel:
     uni: DataFrame
     tri: DataFrame
     meta: DataFrame
+    size: DataFrame | None = None  # one row ``corpus_size`` (what scoring needs)
+
+    def corpus_size(self) -> DataFrame:
+        return self.size if self.size is not None else self.meta.select("corpus_size")
 
 
 def kgrams(sents: DataFrame, k: int = K, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -118,7 +122,7 @@ def fit_trigram(sents: DataFrame, k: int = K) -> TrigramModel:
         F.sum(F.col("ctx_first").cast("bigint")).alias("n_contexts"),
     )
     meta = size.crossJoin(vocab.agg(F.count("*").alias("vocab_size"))).crossJoin(stats)
-    return TrigramModel(uni=uni, tri=tri, meta=meta)
+    return TrigramModel(uni=uni, tri=tri, meta=meta, size=size)
 
 
 def score_tokens(test: DataFrame, model: TrigramModel, keep: tuple[str, ...], k: int = K) -> DataFrame:
@@ -135,7 +139,7 @@ def score_tokens(test: DataFrame, model: TrigramModel, keep: tuple[str, ...], k:
     grams = kgrams(test, k, keep)
     tri = model.tri.select("w1", "w2", "w3", F.col("p").alias("p_tri"))
     uni = model.uni.select(F.col("word").alias("w3"), F.col("p").alias("p_uni"))
-    meta = F.broadcast(model.meta.select("corpus_size"))
+    meta = F.broadcast(model.corpus_size())
     scored = (
         grams.join(tri, ["w1", "w2", "w3"], "left")
         .join(uni, ["w3"], "left")
