@@ -77,9 +77,23 @@ def text_perplexity(docs: DataFrame, sents: DataFrame, scored: DataFrame, policy
     """
     if policy not in (PROPAGATE, SKIP):
         raise ValueError(f"policy must be {PROPAGATE!r} or {SKIP!r}")
-    short = sents.where(F.size("tokens") <= K).select("doc_id")
     sent = sentence_perplexity(scored)
-    agg = _rows(docs.select("doc_id", "label"), short, sent).groupBy("doc_id").agg(
+    if "n_sentences" in docs.columns:
+        # the documents know their line count, and a short line is one that
+        # scored nothing: no second tokenisation of the sentence table
+        none_l, none_d = F.lit(None).cast("bigint"), F.lit(None).cast("double")
+        lines = F.col("n_sentences").cast("bigint")
+        doc_rows = docs.select("doc_id", "label", lines.alias("n_sentences"), lines.alias("n_short"),
+                               none_l.alias("n_tokens"), none_l.alias("oov"), none_l.alias("in_vocab"),
+                               *[none_d.alias(m) for m in MEASURES])
+        sent_rows = sent.select("doc_id", F.lit(None).cast("string").alias("label"),
+                                F.lit(0).cast("bigint").alias("n_sentences"), F.lit(-1).cast("bigint").alias("n_short"),
+                                F.col("n_scored").alias("n_tokens"), "oov", "in_vocab", *MEASURES)
+        base = doc_rows.unionByName(sent_rows)
+    else:
+        short = sents.where(F.size("tokens") <= K).select("doc_id")
+        base = _rows(docs.select("doc_id", "label"), short, sent)
+    agg = base.groupBy("doc_id").agg(
         F.max("label").alias("label"),
         F.sum("n_sentences").alias("n_sentences"),
         F.sum("n_short").alias("n_short"),

@@ -36,5 +36,6 @@ def trigram_run(spark: SparkSession, sf_dir: str) -> TrigramRun:
     test = tables.test_sentences(spark, sf_dir)
     model = ngram.fit_trigram(train)
     scored = ngram.score_tokens(test, model, keep=("doc_id", "label", "line"))
-    docs = tables.labelled_docs(spark, sf_dir).select("doc_id", "label")
+    docs = tables.labelled_docs(spark, sf_dir).select(
+        "doc_id", "label", F.coalesce(F.size(tables.split_lines(F.col("text"))), F.lit(0)).alias("n_sentences"))
     return TrigramRun(docs=docs, train=train, test=test, model=model, scored=scored)
