@@ -168,7 +168,9 @@ def q_corpus_perplexity(spark: SparkSession, sf: str) -> DataFrame:
 
 def _train_texts(spark: SparkSession, sf: str, run) -> DataFrame:
     """The training corpus scored by its own model (testing on training data)."""
-    train_docs = tables.training_docs(spark, sf).select("doc_id", F.lit("train").alias("label"))
+    train_docs = tables.training_docs(spark, sf).select(
+        "doc_id", F.lit("train").alias("label"),
+        F.coalesce(F.size(tables.split_lines(F.col("text"))), F.lit(0)).alias("n_sentences"))
     scored = ngram.score_tokens(run.train, run.model, keep=("doc_id", "line"))
     return ppl.text_perplexity(train_docs, run.train, scored, ppl.SKIP)
 
