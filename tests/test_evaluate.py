@@ -8,10 +8,12 @@ from textlm.operators.rownum import global_row_number
 
 
 def _stratified_reference(labels, n_splits):
-    """Plain-Python statement of unshuffled stratified k-fold allocation."""
-    classes = sorted(set(labels))
-    y_sorted = sorted(labels)
-    alloc = [[y_sorted[i::n_splits].count(c) for c in classes] for i in range(n_splits)]
+    """Plain-Python statement of unshuffled stratified k-fold allocation
+    (classes numbered by first appearance)."""
+    classes = sorted(set(labels), key=labels.index)
+    code = {c: i for i, c in enumerate(classes)}
+    y_sorted = sorted(code[lab] for lab in labels)
+    alloc = [[y_sorted[i::n_splits].count(code[c]) for c in classes] for i in range(n_splits)]
     folds = [None] * len(labels)
     for k, c in enumerate(classes):
         seq = [i for i in range(n_splits) for _ in range(alloc[i][k])]

@@ -1,9 +1,10 @@
 """Cross-validated classification on one feature, and its reports.
 
 Rows are ``(doc_id, label, x)``.  Folds follow stratified, unshuffled k-fold:
-labels are sorted, fold sizes per class come from dealing the sorted label
-sequence round-robin over the folds, and inside a class the rows (in
-``doc_id`` order) fill fold 0 first, then fold 1, ...
+classes are numbered by first appearance (in ``doc_id`` order), fold sizes per
+class come from dealing the class-sorted label sequence round-robin over the
+folds, and inside a class the rows (in ``doc_id`` order) fill fold 0 first,
+then fold 1, ...
 
 Every per-class / per-fold table here has ``classes x folds`` rows, so it is
 broadcast with a proven bound; row-level work never leaves its partition
@@ -29,12 +30,23 @@ def feature_rows(texts: DataFrame, measure: str = "ppl2") -> DataFrame:
     )
 
 
-def class_counts(rows: DataFrame) -> DataFrame:
-    """``(label, n, start)``: class sizes and first sorted position (tiny)."""
-    counts = rows.groupBy("label").agg(F.count("*").alias("n"))
-    # one row per class: a window over the aggregated table is bounded
-    w = Window.orderBy("label").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("start", F.coalesce(F.sum("n").over(w), F.lit(0)).cast("bigint"))
+def class_counts(rows: DataFrame, order: str = "doc_id") -> DataFrame:
+    """``(label, n, sort_start, start)`` per class (tiny).
+
+    ``sort_start``: first position of the class when rows are sorted by label;
+    ``start``: first position in the fold allocation, where classes are
+    encoded by order of first appearance (smallest ``order`` value first).
+    """
+    counts = rows.groupBy("label").agg(F.count("*").alias("n"), F.min(order).alias("_first"))
+    # one row per class: windows over the aggregated table are bounded
+    before = Window.unboundedPreceding
+    by_label = Window.orderBy("label").rowsBetween(before, -1)
+    by_first = Window.orderBy("_first", "label").rowsBetween(before, -1)
+    return counts.select(
+        "label", "n",
+        F.coalesce(F.sum("n").over(by_label), F.lit(0)).cast("bigint").alias("sort_start"),
+        F.coalesce(F.sum("n").over(by_first), F.lit(0)).cast("bigint").alias("start"),
+    )
 
 
 def balanced_weights(rows: DataFrame) -> DataFrame:
@@ -68,10 +80,10 @@ def stratified_folds(rows: DataFrame, n_splits: int) -> DataFrame:
     ranked = global_row_number(rows, ["label", "doc_id"], "pos")
     classes = class_counts(ranked)
     b = _fold_bounds(classes, n_splits).select(F.col("label").alias("b_label"), "fold", "lo", "hi")
-    r = ranked.join(F.broadcast(classes.select("label", "start")), "label")
-    r = r.withColumn("rank", F.col("pos") - F.col("start"))
+    r = ranked.join(F.broadcast(classes.select("label", "sort_start")), "label")
+    r = r.withColumn("rank", F.col("pos") - F.col("sort_start"))
     cond = (F.col("label") == F.col("b_label")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
-    return r.join(F.broadcast(b), cond).drop("b_label", "lo", "hi", "pos", "start", "rank")
+    return r.join(F.broadcast(b), cond).drop("b_label", "lo", "hi", "pos", "sort_start", "rank")
 
 
 def cv_centroid(folded: DataFrame) -> DataFrame:

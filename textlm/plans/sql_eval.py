@@ -8,9 +8,11 @@ N = 10
 
 FOLDS = f"""
 rows AS (SELECT doc_id, label, coalesce(ppl2, 0.0) AS x FROM texts),
-class_n AS (SELECT label, count(*) AS n FROM rows GROUP BY label),
+class_n AS (SELECT label, count(*) AS n, min(doc_id) AS first_id FROM rows GROUP BY label),
 classes AS (
-  SELECT label, n, coalesce(sum(n) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  SELECT label, n,
+         coalesce(sum(n) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sort_start,
+         coalesce(sum(n) OVER (ORDER BY first_id, label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM class_n
 ),
 fold_sizes AS (
@@ -24,7 +26,7 @@ fold_bounds AS (
   FROM fold_sizes
 ),
 ranked AS (
-  SELECT r.doc_id, r.label, r.x, row_number() OVER (ORDER BY r.label, r.doc_id) - 1 - c.start AS rk
+  SELECT r.doc_id, r.label, r.x, row_number() OVER (ORDER BY r.label, r.doc_id) - 1 - c.sort_start AS rk
   FROM rows r JOIN classes c ON c.label = r.label
 ),
 folded AS (

@@ -31,8 +31,11 @@ def spread(df: DataFrame) -> DataFrame:
     most compact form) are spread once by a round-robin exchange; on a
     cluster the file splits already outnumber the cores and nothing changes.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    n = df.rdd.getNumPartitions()
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - sessions without the RDD API keep the scan as is
+        return df
     return df.repartition(cores) if n < cores else df
 
 
