@@ -19,6 +19,11 @@ SCALE_CONF = {
     # a join side whose every shuffle partition measures under 64 MB is
     # hashed instead of sorted (a measured bound, so no memory risk)
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": str(64 << 20),
+    # no broadcast from planner estimates (they are guesses through
+    # aggregates); a side is broadcast only when its shuffle output measures
+    # under 32 MB at run time.  Explicit hints remain for one-row tables.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 << 20),
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
