@@ -65,3 +65,12 @@ def test_centroid_every_row_in_one_fold(spark):
                                  "doc_id long, label string, x double")
     pred = ev.cv_centroid(ev.stratified_folds(rows, 5))
     assert pred.count() == 60 and pred.select("doc_id").distinct().count() == 60
+
+
+def test_row_numbers_split_a_hot_key(spark):
+    # one value holds half of all rows: its run must spread over several partitions
+    df = spark.range(0, 4000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"))
+    out = global_row_number(df, ["k"], "rn", partitions=8)
+    per = out.where(F.col("k") == 7).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert per > 1
+    assert sorted(r.rn for r in out.collect()) == list(range(4000))

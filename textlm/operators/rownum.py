@@ -23,9 +23,12 @@ def global_row_number(df: DataFrame, order: list[str | Column], name: str = "rn"
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    ranged = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
-    fixed = ranged.checkpoint(eager=True)
+    # the scan-order tiebreaker lets the range partitioner split a run of equal
+    # keys (one value may hold a third of all rows) over several partitions
+    cols = [F.col(c) if isinstance(c, str) else c for c in order] + [F.col("_tb")]
+    ranged = df.withColumn("_tb", F.monotonically_increasing_id()).repartitionByRange(n, *cols) \
+        .sortWithinPartitions(*cols)
+    fixed = ranged.checkpoint(eager=True).drop("_tb")
     tagged = fixed.select("*", F.spark_partition_id().alias("_pid"),
                           F.monotonically_increasing_id().alias("_mid"))
     counts = sorted((r["_pid"], r["count"]) for r in tagged.groupBy("_pid").count().collect())
@@ -51,8 +54,9 @@ def global_cumsum(df: DataFrame, order: list[str | Column], value: str, out: str
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    fixed = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols).checkpoint(eager=True)
+    cols = [F.col(c) if isinstance(c, str) else c for c in order] + [F.col("_tb")]
+    fixed = df.withColumn("_tb", F.monotonically_increasing_id()).repartitionByRange(n, *cols) \
+        .sortWithinPartitions(*cols).checkpoint(eager=True).drop("_tb")
     sums = sorted((r["_pid"], r["s"] or 0) for r in fixed.groupBy(F.spark_partition_id().alias("_pid"))
                   .agg(F.sum(value).alias("s")).collect())
     offsets, acc = {}, 0
