@@ -72,3 +72,11 @@ def test_cosine_bounds(spark):
     assert vals[0] == pytest.approx(-1.0) and vals[1] == pytest.approx(1.0)
     assert all(-1 - 1e-12 <= v <= 1 + 1e-12 for v in vals)
     assert math.isfinite(vals[0])
+
+
+def test_token_vectors_subword_fallback(spark):
+    vectors = spark.createDataFrame([("cat", [1.0, 1.0])], "word string, vec array<double>")
+    grams = spark.createDataFrame([("<do", [2.0, 0.0]), ("og>", [0.0, 4.0])], "ngram string, vec array<double>")
+    words = spark.createDataFrame([("cat",), ("dog",), ("zzz",)], "word string")
+    got = {r.word: list(r.vec) for r in vx.token_vectors(words, vectors, grams).collect()}
+    assert got == {"cat": [1.0, 1.0], "dog": [1.0, 2.0]}  # zzz has no known n-gram

@@ -245,9 +245,20 @@ def layer_norm(df: DataFrame, layer_cols: list[str], eps: float = 1e-12) -> Data
 
 
 # --------------------------------------------------------- token / sentence vectors
-def token_vectors(words: DataFrame, vectors: DataFrame) -> DataFrame:
-    """One vector per vocabulary word that has one (H17): ``(word, vec)``."""
-    return words.select("word").distinct().join(vectors.select("word", "vec"), "word", "inner")
+def token_vectors(words: DataFrame, vectors: DataFrame, ngram_vectors: DataFrame | None = None) -> DataFrame:
+    """One vector per vocabulary word (H17): ``(word, vec)``.
+
+    With ``ngram_vectors(ngram, vec)``, a word without a vector gets the mean
+    of its character n-gram vectors (the subword model of H3).
+    """
+    distinct = words.select("word").distinct()
+    known = distinct.join(vectors.select("word", "vec"), "word", "inner")
+    if ngram_vectors is None:
+        return known
+    from textlm.operators.embeddings import subword_vectors
+
+    unseen = distinct.join(vectors.select("word"), "word", "left_anti")
+    return known.unionByName(subword_vectors(unseen, ngram_vectors))
 
 
 def vector_dim(vectors: DataFrame, col: str = "vec") -> int:
