@@ -14,10 +14,10 @@ N_SPLITS = 10  # folds for the ppl2 feature
 MINORITY = "bad"
 
 
-def feature_rows(spark: SparkSession, sf: str) -> DataFrame:
+def feature_rows(spark: SparkSession, sf: str, measure: str = "ppl2") -> DataFrame:
     run = trigram_run(spark, sf)
     texts = ppl.text_perplexity(run.docs, run.test.select("doc_id", "line", "tokens"), run.scored, ppl.PROPAGATE)
-    return ev.feature_rows(texts, "ppl2")
+    return ev.feature_rows(texts, measure)
 
 
 def folded(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,3 +82,17 @@ def q_cv_scores(spark: SparkSession, sf: str) -> DataFrame:
 @query("dummy_report")
 def q_dummy_report(spark: SparkSession, sf: str) -> DataFrame:
     return _report_out(ev.classification_report(ev.cv_dummy(folded(spark, sf), seed=42)))
+
+
+def _cv_scores_for(measure: str, n_splits: int):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        f = ev.stratified_folds(feature_rows(spark, sf, measure).select("doc_id", "label", "x"), n_splits)
+        s = ev.cv_scores(ev.cv_fold_scores(ev.cv_centroid(f)))
+        return s.select("n_folds", *[r(c, X_DIGITS) for c in ("accuracy_mean", "accuracy_sd2", "f1_mean", "f1_sd2")])
+
+    return run
+
+
+# the reference classifies ppl0 and ppl1 with 5 folds (ppl2 with 10)
+query("cv_scores_ppl0")(_cv_scores_for("ppl0", 5))
+query("cv_scores_ppl1")(_cv_scores_for("ppl1", 5))
