@@ -8,10 +8,11 @@
   an unseen one -- is the mean of its n-gram vectors.
 
 Windows are built with array functions inside each sentence row (no self
-join); co-occurrences are aggregated with partial aggregation.  The SVD runs
-on an ``IndexedRowMatrix`` whose rows (words, n-grams) stay distributed; its
-columns (contexts) are capped to the most frequent ones so the Gram matrix
-fits in memory.
+join); co-occurrences are aggregated with partial aggregation.  The SVD takes
+one tree-aggregated pass for the Gram matrix of the context columns (capped
+to the most frequent contexts so it fits in memory), a local
+eigendecomposition, and an in-task projection of the rows (words, n-grams),
+which stay distributed throughout.
 """
 
 from __future__ import annotations
