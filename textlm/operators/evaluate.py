@@ -60,13 +60,11 @@ def balanced_weights(rows: DataFrame) -> DataFrame:
 
 def _fold_bounds(classes: DataFrame, n_splits: int) -> DataFrame:
     """``(label, fold, lo, hi)``: within-class rank range of each fold."""
-    spark = classes.sparkSession
-    folds = spark.range(n_splits).select(F.col("id").alias("fold"))
-
     def upto(x):  # how many positions q in [0, x) have q mod n == fold
         return F.floor((x - F.col("fold") + F.lit(n_splits - 1)) / F.lit(n_splits))
 
-    sizes = classes.crossJoin(folds).select(
+    per_fold = classes.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1)).cast("array<bigint>")).alias("fold"))
+    sizes = per_fold.select(
         "label", "fold",
         (upto(F.col("start") + F.col("n")) - upto(F.col("start"))).cast("bigint").alias("size"),
     )
