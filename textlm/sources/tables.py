@@ -30,6 +30,8 @@ def spread(df: DataFrame) -> DataFrame:
     groups scans into fewer tasks than cores.  Only then the raw rows (their
     most compact form) are spread once by a round-robin exchange; on a
     cluster the file splits already outnumber the cores and nothing changes.
+    Call it on plain scans only: counting the partitions of a plan that holds
+    an exchange would make adaptive execution run that exchange.
     """
     try:
         cores = df.sparkSession.sparkContext.defaultParallelism
