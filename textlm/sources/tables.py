@@ -41,6 +41,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if n < cores else df
 
 
+BROADCAST_MAX_ROWS = 2_000_000  # (doc_id, label) rows: well under 100 MB
+
+
+def sized_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast a scanned side only behind a check of its size.
+
+    The count of a parquet scan reads footers only; beyond ``max_rows`` the
+    side stays a plain frame and the join shuffles both sides.
+    """
+    return F.broadcast(small) if small.count() <= max_rows else small
+
+
 def lines_of(df: DataFrame, text_col: str = "text", key: str = "doc_id") -> DataFrame:
     """``(key, line, value)``: posexplode of the text's lines (A1, table form).
 
@@ -63,14 +75,14 @@ def labelled_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select(
         "doc_id", F.when(F.col("quality") == 1, F.lit(GOOD)).otherwise(F.lit(BAD)).alias("label")
     )
-    return docs.join(labels, "doc_id", "inner")
+    return docs.join(sized_broadcast(labels), "doc_id", "inner")
 
 
 def training_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, text)`` of documents without a label."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id")
-    return docs.join(labels, "doc_id", "left_anti")
+    return docs.join(sized_broadcast(labels), "doc_id", "left_anti")
 
 
 def training_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
