@@ -47,3 +47,16 @@ def test_entry_schema_is_stable(spark):
     a = E.entry(spark).schema
     b = E.entry(spark).schema
     assert a == b and [f.name for f in a][:2] == ["doc_id", "label"]
+
+
+def test_sized_broadcast_both_ways(spark):
+    from textlm.sources.tables import sized_broadcast
+
+    small = spark.range(10).withColumnRenamed("id", "doc_id")
+    big = spark.range(1000).withColumnRenamed("id", "doc_id")
+    left = spark.range(1000).withColumnRenamed("id", "doc_id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    hinted = _plan(left.join(sized_broadcast(small, max_rows=100), "doc_id"))
+    plain = _plan(left.join(sized_broadcast(big, max_rows=100), "doc_id"))
+    assert "BroadcastHashJoin" in hinted
+    assert "BroadcastHashJoin" not in plain
