@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textlm.llm import licenses
+from textlm.llm import chat, decontaminate, licenses, tokencounts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -27,3 +27,28 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op1_license_scan"] = licenses.oracle()
+
+
+@query
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+SQL["op2_benchmark_decontamination"] = decontaminate.ORACLE
+
+
+@query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.token_report(read(spark, sf_dir, "documents"))
+
+
+@query
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)],
+                                 "conv_id bigint, turn bigint, role string, text string")
+    return chat.read_back(chat.format_chats(chat.turn_events(turns.union(more))))
+
+
+SQL["op4_chat_formatting"] = chat.ORACLE
