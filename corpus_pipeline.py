@@ -9,12 +9,18 @@ the stages against brute-force versions.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from textlm.llm import chunks, decontaminate, mixing, ngramjoin, toxicity
 from textlm.llm.common import fresh, stored
 from textlm.llm.queries import read
 
 
+def _with_length(docs: DataFrame) -> DataFrame:
+    """Texts were cut: their length is taken anew."""
+    return docs.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else docs
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     (score,) = fresh(docs, "score")
@@ -29,12 +35,12 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document holds are cut; documents without anything else go."""
-    return chunks.remove_passages(docs)
+    return _with_length(chunks.remove_passages(docs))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of benchmark windows are cut; documents without anything else go."""
-    return decontaminate.remove_benchmark(docs, read(spark, sf_dir, "benchmark"))
+    return _with_length(decontaminate.remove_benchmark(docs, read(spark, sf_dir, "benchmark")))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -184,9 +184,11 @@ def _tiles(members: DataFrame, p: int, q: int) -> DataFrame:
     edges = [int(e) for e in band_edges(p, q, 1 << 31)]
     band = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col("n_shingles"))) - 1
     m = members.withColumn("band", band)
-    blocks = lambda: F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
-    whole = m.groupBy("family").agg(blocks().alias("whole"))
-    cut = stored(m.join(whole.where("whole > 1"), "family").groupBy("family", "band").agg(blocks().alias("nb")))
+    # members and hashes by band first: a family's total is a sum over few rows
+    bands = stored(m.groupBy("family", "band").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("hashes")))
+    blocks = lambda rows, hashes: F.greatest(F.ceil(rows / BLOCK), F.ceil(hashes / BLOCK_SHINGLES)).cast("int")
+    large = bands.groupBy("family").agg(blocks(F.sum("rows"), F.sum("hashes")).alias("whole")).where("whole > 1")
+    cut = stored(bands.join(large, "family").select("family", "band", blocks(F.col("rows"), F.col("hashes")).alias("nb")))
     shifted = lambda by, name: cut.select("family", (F.col("band") + by).alias("band"), F.col("nb").alias(name))
     for by, name in ((0, "own"), (-1, "up"), (1, "down")):
         m = m.join(shifted(by, name), ["family", "band"], "left")
