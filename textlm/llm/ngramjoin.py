@@ -6,10 +6,15 @@ equal sets form a class, and one member stands for it.
 *Which classes can meet.*  Linked sets differ in few elements: with sizes a
 and b and similarity p/q, in at most (a + b)(q - p)/(q + p).  Sizes fall into
 bands such that linked ones lie in the same or in neighbouring bands.  For
-each band, and the next larger, a set's hashes are cut by value into one part
-more than linked sets may differ in; so linked sets have a part in common.
-Parts are looked up by digest, and classes with a common part are of one
-family.  This finds every link; it proves none.
+each band, and the next larger, a set's hashes are cut by value into parts, and
+of these as many are looked up by digest as linked sets may differ in, and one
+more: those with the most rare hashes.  Linked sets have one of them in common:
+each difference spoils one part, so each set has an unspoilt part among its
+own, and the heavier of the two is among the other's, too, since a part weighs
+the same in both.  Classes with a common part are of one family.  This finds
+every link, whatever hashes count as rare; it proves none.  Hashes are frequent
+if ``FREQUENT`` of the documents some task reads have them (all documents are
+counted); passages that many documents share then found no families.
 
 *Which do.*  A family is compared in tiles: blocks of its members by size
 band, each against itself and against the blocks of its own and the next band.
@@ -45,6 +50,8 @@ from textlm.llm.components import components
 BLOCK = 256  # members of a family's block
 BLOCK_SHINGLES = 500_000  # and their hashes at most, about
 BITS = 1024
+FREQUENT = 0.001  # of the documents of a batch, but 4 of them at least
+MOST_FREQUENT = 200_000  # hashes shipped to the tasks; which ones changes the work, not the links
 _BATCH = 1 << 21  # digests collapsed at once in a task
 _U = np.uint64
 
@@ -90,37 +97,70 @@ def band_edges(p: int, q: int, most: int = 1 << 40) -> np.ndarray:
     return np.array(edges)
 
 
-def part_digests(shingles: np.ndarray, edges: np.ndarray, p: int, q: int) -> np.ndarray:
-    """Digests of the parts of a set, for its own band and the next."""
+def part_digests(shingles: np.ndarray, frequent: np.ndarray, edges: np.ndarray, p: int, q: int) -> np.ndarray:
+    """Digests of the heaviest parts of a set, for its own band and the next."""
     band = int(np.searchsorted(edges, len(shingles), "right")) - 1
-    high, mixed, out = shingles >> _U(32), None, []
+    high, out = shingles >> _U(32), []
+    mixed = np.concatenate((_mix(shingles + _U(1)), np.zeros(1, np.uint64)))
+    rare = np.ones(len(shingles), np.int64)
+    if len(frequent):
+        rare[frequent[np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)] == shingles] = 0
+    rare = np.concatenate(([0], np.cumsum(rare)))
     for tile in (band, band + 1):
-        parts = 2 * (int(edges[tile + 1]) - 1) * (q - p) // (q + p) + 1
-        if mixed is None:
-            mixed = np.concatenate((_mix(shingles + _U(1)), np.zeros(1, np.uint64)))
+        need = 2 * (int(edges[tile + 1]) - 1) * (q - p) // (q + p) + 1
+        parts = need * 3 // 2
         cut = np.searchsorted((high * _U(parts)) >> _U(32), np.arange(parts + 1))
         sums = np.add.reduceat(mixed, cut[:-1])
-        sums[cut[:-1] == cut[1:]] = 0  # an empty part is a part, too
-        out.append(_mix(sums + _mix(np.arange(parts, dtype=np.uint64) + _U(tile << 40))))
+        size = np.diff(cut)
+        sums[size == 0] = 0  # an empty part is a part, too
+        heaviest = np.lexsort((np.arange(parts), -size, -(rare[cut[1:]] - rare[cut[:-1]])))[:need]
+        out.append(_mix(sums[heaviest] + _mix(heaviest.astype(np.uint64) + _U(tile << 40))))
     return np.concatenate(out)
 
 
+def _frequent(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes that many of the sets hold, and how many."""
+    found, n = np.unique(np.concatenate(sets), return_counts=True)
+    many = n >= max(4, FREQUENT * len(sets))
+    return found[many], n[many]
+
+
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """``(doc_id, n_shingles, class)`` from ``(doc_id, text)``; a null class without words."""
+    """``(doc_id, n_shingles, class, frequent, df)`` from ``(doc_id, text)``.
+
+    One row per document, its class null without words, and rows of frequent
+    hashes (and of how many documents) with ``df`` not null.
+    """
+
+    def rows(ids, sizes, classes, frequent, df) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in (sizes, classes, frequent, df))],
+                                          names=["doc_id", "n_shingles", "class", "frequent", "df"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
+        hashes, held, total = _Hashes(), [], 0
+
+        def counted() -> pa.RecordBatch:
+            found, many = _frequent(held)
+            none = [None] * len(found)
+            return rows(pa.array(none, pa.int64()), none, none, found.view(np.int64), many)
+
         for batch in batches:
             sizes, classes = [], []
             for t in batch.column(1).to_pylist():
                 s = shingle_set(t, n, hashes)
                 sizes.append(len(s))
                 classes.append(set_class(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64())],
-                names=["doc_id", "n_shingles", "class"])
+                held.append(s)
+                total += len(s)
+                if total >= _BATCH:
+                    yield counted()
+                    held, total = [], 0
+            none = [None] * len(sizes)
+            yield rows(batch.column(0), sizes, classes, none, none)
+        if held:
+            yield counted()
 
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, class bigint")
+    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, class bigint, frequent bigint, df bigint")
 
 
 def _collapsed(digests: list[np.ndarray], classes: list[int]) -> pa.RecordBatch:
@@ -139,8 +179,9 @@ def _collapsed(digests: list[np.ndarray], classes: list[int]) -> pa.RecordBatch:
                                       names=["digest", "class"])
 
 
-def _part_rows(docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
+def _part_rows(docs: DataFrame, frequent: np.ndarray, n: int, p: int, q: int) -> DataFrame:
     """``(digest, class)``: the parts of each text's set, collapsed within a task."""
+    sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, edges, seen = _Hashes(), band_edges(p, q), set()
@@ -156,7 +197,7 @@ def _part_rows(docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
                 if len(seen) > 500_000:
                     seen.clear()
                 seen.add(c)
-                digests.append(part_digests(s, edges, p, q))
+                digests.append(part_digests(s, sent.value, edges, p, q))
                 classes.append(c)
                 held += len(digests[-1])
                 if held >= _BATCH:
@@ -287,10 +328,14 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """``(doc_id, n_shingles, class, component_id)``: one row per document; a null class without words."""
     p, q = similarity
     d = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    sets = stored(_sets(d, n))
+    rows = stored(_sets(d, n))
+    sets = rows.where("df IS NULL").select("doc_id", "n_shingles", "class")
+    most = rows.where("df IS NOT NULL").groupBy("frequent").agg(F.sum("df").alias("df")) \
+        .orderBy(F.desc("df"), "frequent").limit(MOST_FREQUENT).select("frequent").toArrow()
+    frequent = np.sort(most.column(0).to_numpy().view(np.uint64))
     classes = stored(sets.where("class IS NOT NULL").groupBy("class").agg(
         F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles")))
-    families = stored(_families(_part_rows(d, n, p, q)))
+    families = stored(_families(_part_rows(d, frequent, n, p, q)))
     members = _tiles(families.join(classes, "class"), p, q)
     links = stored(_compared(_tile_rows(d, members, n), p, q))
     joined = components(links).select(F.col("node").alias("class"), "component")
