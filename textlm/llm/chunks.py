@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textlm.llm.common import fresh
+from textlm.llm.common import each, fresh
 
 WINDOW = 32  # bytes under the hash (a power of two)
 CHUNK_WORDS = 6
@@ -89,7 +89,7 @@ def chunk_buffer(data: np.ndarray, starts: np.ndarray, gear: np.ndarray) -> tupl
 def _texts(column: pa.Array) -> Iterator[tuple[list[int], list[bytes]]]:
     """Rows and UTF-8 of a column's non-empty texts, about ``_BUFFER`` bytes at a time."""
     rows, held, n = [], [], 0
-    for i, t in enumerate(column.to_pylist()):
+    for i, t in enumerate(each(column)):
         if t:
             rows.append(i)
             held.append(t.encode("utf-8", "surrogatepass"))

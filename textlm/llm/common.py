@@ -28,6 +28,12 @@ def blank_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def each(column, step: int = 512) -> Iterator:
+    """The values of an Arrow column, few of them at a time as Python objects."""
+    for at in range(0, len(column), step):
+        yield from column.slice(at, step).to_pylist()
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -32,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlm.llm.common import alnum_words, fresh, text_key
+from textlm.llm.common import alnum_words, each, fresh, text_key
 
 WINDOW = 10
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 500_000
 SAMPLE = 16
 BLOCK_WORDS = 2_000_000
 _RAW_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -208,13 +208,14 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int) ->
 def _shards(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list, list]]:
     """Slices of the batches of about SHARD_WORDS words, with their texts and words."""
     for batch in batches:
-        texts, words, n, at = batch.column(column).to_pylist(), [], 0, 0
-        for i, t in enumerate(texts):
+        texts, words, n, at = [], [], 0, 0
+        for i, t in enumerate(each(batch.column(column))):
+            texts.append(t)
             words.append(alnum_words(t))
             n += len(words[-1])
-            if n >= SHARD_WORDS or i == len(texts) - 1:
-                yield batch.slice(at, i + 1 - at), texts[at:i + 1], words
-                words, n, at = [], 0, i + 1
+            if n >= SHARD_WORDS or i == len(batch) - 1:
+                yield batch.slice(at, i + 1 - at), texts, words
+                texts, words, n, at = [], [], 0, i + 1
 
 
 def _scan(docs: DataFrame, block: list, window: int) -> DataFrame:

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textlm.llm.common import blank_words, groups, stored
+from textlm.llm.common import blank_words, each, groups, stored
 from textlm.llm.components import components
 
 BLOCK = 256  # members of a family's block
@@ -52,7 +52,7 @@ BLOCK_SHINGLES = 500_000  # and their hashes at most, about
 BITS = 1024
 FREQUENT = 0.001  # of the documents of a batch, but 4 of them at least
 MOST_FREQUENT = 200_000  # hashes shipped to the tasks; which ones changes the work, not the links
-_BATCH = 1 << 21  # digests collapsed at once in a task
+_BATCH = 1 << 20  # digests collapsed at once in a task
 _U = np.uint64
 
 
@@ -66,7 +66,7 @@ class _Hashes(dict):
     """Word hashes met so far; thrown away when they grow many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -146,7 +146,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
 
         for batch in batches:
             sizes, classes = [], []
-            for t in batch.column(1).to_pylist():
+            for t in each(batch.column(1)):
                 s = shingle_set(t, n, hashes)
                 sizes.append(len(s))
                 classes.append(set_class(s) if len(s) else None)
@@ -187,14 +187,14 @@ def _part_rows(docs: DataFrame, frequent: np.ndarray, n: int, p: int, q: int) ->
         hashes, edges, seen = _Hashes(), band_edges(p, q), set()
         digests, classes, held = [], [], 0
         for batch in batches:
-            for t in batch.column(0).to_pylist():
+            for t in each(batch.column(0)):
                 s = shingle_set(t, n, hashes)
                 if not len(s):
                     continue
                 c = set_class(s)
                 if c in seen:
                     continue
-                if len(seen) > 500_000:
+                if len(seen) > 150_000:
                     seen.clear()
                 seen.add(c)
                 digests.append(part_digests(s, sent.value, edges, p, q))
@@ -287,7 +287,7 @@ def _tile_rows(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
         hashes = _Hashes()
         for batch in batches:
             out: list = []
-            for c, tiles, t in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for c, tiles, t in zip(*map(each, batch.columns), strict=True):
                 s = shingle_set(t, n, hashes)
                 if set_class(s) != c:  # another text under the same doc_id
                     continue

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textlm.llm.common import each
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the split pattern that belongs to the vocabulary (its own rule for words, numbers, signs, blanks).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -43,7 +45,7 @@ def encoded_lengths(docs: DataFrame, text: str = "text", vocabulary: str = VOCAB
 
         code = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})
         for batch in batches:
-            sizes = [len(code.encode_ordinary(t)) if t else 0 for t in batch.column(0).to_pylist()]
+            sizes = [len(code.encode_ordinary(t)) if t else 0 for t in each(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64())], names=["n_tokens"])
 
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "n_tokens bigint")

@@ -32,7 +32,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textlm.llm.common import WORD_TABLE, fresh, stored
+from textlm.llm.common import WORD_TABLE, each, fresh, stored
 
 TRAIN_ROWS = 20_000
 LEXICON_SIZE = 500  # learned entries
@@ -80,7 +80,7 @@ class _Weights(dict):
         self.learned = learned
 
     def __missing__(self, word: bytes) -> float:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         w = self[word] = max((self.learned.get(e, 0.0) for e in entries(word)), default=0.0)
         return w
@@ -125,9 +125,9 @@ def with_features(docs: DataFrame, text: str, out: str, lexicons: list[dict[byte
         weights = [_Weights(x) for x in sent.value]
         insults, second = frozenset(w.encode() for w in INSULTS), frozenset(w.encode() for w in SECOND)
         for batch in batches:
-            texts = batch.column(text).to_pylist()
-            which = batch.column(fold).to_pylist() if fold else [-1] * len(texts)
-            rows = [text_features(t, weights[k], insults, second) for t, k in zip(texts, which, strict=True)]
+            which = batch.column(fold).to_pylist() if fold else [-1] * len(batch)
+            rows = [text_features(t, weights[k], insults, second)
+                    for t, k in zip(each(batch.column(text)), which, strict=True)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(rows, pa.list_(pa.float64()))],
                                              names=[*kept, out])
 
@@ -168,7 +168,7 @@ def learn_lexicons(train: DataFrame, size: int = LEXICON_SIZE) -> list[dict[byte
         for batch in batches:
             for text, label, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "label", "fold")), strict=True):
                 seen.update((e, fold, label) for e in {e for w in set(_lower_words(text or "")) for e in entries(w)})
-                if len(seen) > 500_000:
+                if len(seen) > 300_000:
                     yield rows()
                     seen.clear()
         if seen:
