@@ -6,7 +6,7 @@ shard's index is one sorted array per random projection.  Around a query's
 projections, windows grow step by step (virtual rehashing: the same arrays at
 a wider radius); a vector that lies in at least ``THRESHOLD`` of the windows
 has collided often enough and is a candidate.  Windows grow until the
-candidates are the wanted ones plus ``SHARE`` of the shard; candidates are then
+candidates are five times the wanted ones plus ``SHARE`` of the shard; candidates are then
 verified by their exact inner product.  The best of each shard are merged.
 
 Largest inner product becomes least distance by one more coordinate that
@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 K = 20
 PROJECTIONS = 64
 THRESHOLD = 38
-SHARE = 0.35
+SHARE = 0.25
 SHARD_ROWS = 4096
-QUERY_BLOCK = 4096
-STEP = 1.25  # growth of the windows
+QUERY_BLOCK = 2048
+FIRST, STEP, RADII = 0.6, 1.25, 14  # the windows' first radius, their growth, and how many there are
 SEED = 20_240_603
 
 
@@ -53,26 +53,35 @@ class ShardIndex:
         self.sorted = np.take_along_axis(places, self.order, axis=1)
         self.vectors = vectors
 
-    def candidates(self, query: np.ndarray, wanted: int) -> np.ndarray:
-        """Vectors in enough windows around the query, at the first radius at which they are ``wanted``."""
+    def windows(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last places of each query's window, by radius and projection; the last radius holds all."""
+        centres = self.axes[:, :-1] @ (queries / np.sqrt((queries * queries).sum(1))[:, None]).T
+        radii = [*(FIRST * STEP ** np.arange(RADII - 1)), np.inf]
+        lo, hi = np.empty((2, RADII, *centres.shape), np.int32)
+        for r, radius in enumerate(radii):
+            for j, row in enumerate(self.sorted):
+                lo[r, j] = np.searchsorted(row, centres[j] - radius)
+                hi[r, j] = np.searchsorted(row, centres[j] + radius, "right")
+        return lo, hi
+
+    def candidates(self, lo: np.ndarray, hi: np.ndarray, wanted: int) -> np.ndarray:
+        """Vectors in enough of one query's windows, at the first radius at which they are ``wanted``."""
         n = len(self.vectors)
         if wanted >= n:
             return np.arange(n)
-        centre = self.axes[:, :-1] @ (query / np.sqrt((query * query).sum()))
-        hits = np.zeros(n, np.int64)
-        lo = hi = np.array([np.searchsorted(row, c) for row, c in zip(self.sorted, centre, strict=True)])
-        radius = 0.5
-        while True:
-            new_lo = np.array([np.searchsorted(row, c - radius) for row, c in zip(self.sorted, centre, strict=True)])
-            new_hi = np.array([np.searchsorted(row, c + radius, "right") for row, c in zip(self.sorted, centre, strict=True)])
-            rings = [self.order[j, a:b] for j in range(PROJECTIONS)
-                     for a, b in ((new_lo[j], lo[j]), (hi[j], new_hi[j])) if a < b]
-            if rings:
-                hits += np.bincount(np.concatenate(rings), minlength=n)
+        hits = None
+        for r in range(RADII):
+            if r == 0:
+                rings = [row[a:b] for row, a, b in zip(self.order, lo[0].tolist(), hi[0].tolist(), strict=True)]
+            else:  # what a window has grown by
+                rings = [row[a:b] for row, a, b in zip(self.order, lo[r].tolist(), lo[r - 1].tolist(), strict=True)]
+                rings += [row[a:b] for row, a, b in zip(self.order, hi[r - 1].tolist(), hi[r].tolist(), strict=True)]
+            more = np.bincount(np.concatenate(rings), minlength=n)
+            hits = more if hits is None else hits + more
             found = np.flatnonzero(hits >= THRESHOLD)
             if len(found) >= wanted:
-                return found
-            lo, hi, radius = new_lo, new_hi, radius * STEP
+                break
+        return found
 
 
 def _search(k: int, share: float, longest: float):
@@ -85,8 +94,10 @@ def _search(k: int, share: float, longest: float):
             ids, vectors = shard.column("vec_id").to_numpy(), matrix(shard)
             by_id = np.argsort(ids, kind="stable")
             ids, index = ids[by_id], ShardIndex(vectors[by_id], longest)
-            for q, vector in zip(queries.column("vec_id").to_numpy(), matrix(queries), strict=True):
-                at = index.candidates(vector, k + 1 + int(share * len(ids)))
+            asked, wanted = matrix(queries), 5 * k + int(share * len(ids))
+            lo, hi = index.windows(asked)
+            for i, (q, vector) in enumerate(zip(queries.column("vec_id").to_numpy(), asked, strict=True)):
+                at = index.candidates(lo[:, :, i], hi[:, :, i], wanted)
                 at = at[ids[at] != q]
                 score = (index.vectors[at] * vector).sum(1)
                 best = np.lexsort((ids[at], -score))[:k]
