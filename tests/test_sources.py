@@ -73,7 +73,7 @@ def test_scores_pairs_per_document(spark, tmp):
     sinks.write_per_document(docs, f"{tmp}/perdoc")
     assert os.path.isdir(f"{tmp}/perdoc/label=good/doc_id=1")
     tree = files.read_labelled_tree(spark, f"{tmp}/perdoc", "wrapped").select("label", "text").collect()
-    assert sorted((a, b.rstrip("\n")) for a, b in tree) == [("label=bad", "z"), ("label=good", "x y")]
+    assert sorted((a, b.rstrip("\n")) for a, b in tree) == [("bad", "z"), ("good", "x y")]
 
 
 def test_shuffled_passes(spark):

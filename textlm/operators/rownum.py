@@ -9,7 +9,7 @@ the driver), and add each partition's offset to the local position.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlm.session import ensure_checkpoint_dir
@@ -31,14 +31,19 @@ def global_row_number(df: DataFrame, order: list[str | Column], name: str = "rn"
     fixed = ranged.checkpoint(eager=True).drop("_tb")
     tagged = fixed.select("*", F.spark_partition_id().alias("_pid"),
                           F.monotonically_increasing_id().alias("_mid"))
-    counts = sorted((r["_pid"], r["count"]) for r in tagged.groupBy("_pid").count().collect())
-    offsets, acc = [], 0
-    for pid, c in counts:
-        offsets += [F.lit(pid), F.lit(acc)]
-        acc += c
-    off = F.create_map(*offsets) if offsets else F.create_map(F.lit(0), F.lit(0))
+    off = _offsets(spark, [(r["_pid"], r["count"]) for r in tagged.groupBy("_pid").count().collect()])
     local = F.col("_mid") - F.col("_pid").cast("bigint") * F.lit(_PID_SHIFT)
-    return tagged.withColumn(name, (off[F.col("_pid")] + local).cast("bigint")).drop("_pid", "_mid")
+    return tagged.join(F.broadcast(off), "_pid").withColumn(name, (F.col("_off") + local).cast("bigint")) \
+        .drop("_pid", "_mid", "_off")
+
+
+def _offsets(spark: SparkSession, totals: list[tuple[int, int]]) -> DataFrame:
+    """``(_pid, _off)``: what lies before each partition; one row per partition, so it may be broadcast."""
+    rows, acc = [], 0
+    for pid, n in sorted(totals):
+        rows.append((pid, acc))
+        acc += n
+    return spark.createDataFrame(rows, "_pid int, _off bigint")
 
 
 def global_cumsum(df: DataFrame, order: list[str | Column], value: str, out: str,
@@ -48,7 +53,6 @@ def global_cumsum(df: DataFrame, order: list[str | Column], value: str, out: str
     Same two passes as ``global_row_number``; the running sum inside a
     partition is a pandas ``cumsum`` over the partition's sorted batches.
     """
-    from pyspark import TaskContext
     from pyspark.sql import types as T
 
     spark = df.sparkSession
@@ -57,20 +61,18 @@ def global_cumsum(df: DataFrame, order: list[str | Column], value: str, out: str
     cols = [F.col(c) if isinstance(c, str) else c for c in order] + [F.col("_tb")]
     fixed = df.withColumn("_tb", F.monotonically_increasing_id()).repartitionByRange(n, *cols) \
         .sortWithinPartitions(*cols).checkpoint(eager=True).drop("_tb")
-    sums = sorted((r["_pid"], r["s"] or 0) for r in fixed.groupBy(F.spark_partition_id().alias("_pid"))
-                  .agg(F.sum(value).alias("s")).collect())
-    offsets, acc = {}, 0
-    for pid, s in sums:
-        offsets[pid] = acc
-        acc += s
+    # the partition is a column: a task may later read several of them
+    tagged = fixed.withColumn("_pid", F.spark_partition_id())
+    off = _offsets(spark, [(r["_pid"], r["s"] or 0)
+                           for r in tagged.groupBy("_pid").agg(F.sum(value).alias("s")).collect()])
     schema = T.StructType(fixed.schema.fields + [T.StructField(out, T.LongType())])
 
     def run(batches):
-        base = offsets.get(TaskContext.get().partitionId(), 0)
+        done = 0
         for pdf in batches:
             v = pdf[value].fillna(0).astype("int64")
-            pdf[out] = (base + v.cumsum() - v).astype("int64")
-            base += int(v.sum())
-            yield pdf
+            pdf[out] = (pdf["_off"] + done + v.cumsum() - v).astype("int64")
+            done += int(v.sum())
+            yield pdf.drop(columns=["_pid", "_off"])
 
-    return fixed.mapInPandas(run, schema)
+    return tagged.join(F.broadcast(off), "_pid").select(*tagged.columns, "_off").mapInPandas(run, schema)

@@ -41,15 +41,19 @@ def read_labelled_tree(spark: SparkSession, path: str, layout: str = "flat") ->
     df = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(path)
     parts = F.split(F.col("_metadata.file_path"), "/")
     up = 2 if layout == "flat" else 3
-    df = df.select(F.element_at(parts, -1).alias("doc_id"), F.element_at(parts, -up).alias("label"),
-                   F.col("value").alias("text"))
+    # folders written by ``sinks.write_per_document`` are named ``label=..`` and ``doc_id=..``
+    folder = F.element_at(parts, -2)
+    df = df.select(F.when(folder.startswith("doc_id="), F.substr(folder, F.lit(len("doc_id=") + 1)))
+                   .otherwise(F.element_at(parts, -1)).alias("doc_id"),
+                   F.regexp_replace(F.element_at(parts, -up), "^label=", "").alias("label"), F.col("value").alias("text"))
     return spread(df)
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     """Three-column TSV word-pair list, ``#`` lines skipped (A3): ``(w1, w2, score)``."""
-    return (spark.read.option("sep", "\t").option("comment", "#").option("header", "false")
-            .schema("w1 string, w2 string, score double").csv(path))
+    f = F.split(F.col("value"), "\t")
+    return spark.read.text(path).where(~F.col("value").startswith("#") & (F.size(f) >= 3)).select(
+        f[0].alias("w1"), f[1].alias("w2"), F.trim(f[2]).cast("double").alias("score"))
 
 
 def read_bilingual(spark: SparkSession, path: str) -> DataFrame:
@@ -67,18 +71,21 @@ def read_vocab(spark: SparkSession, path: str, validate: bool = True) -> tuple[D
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """word2vec text vectors (A6): ``(word, vec array<float>)``; header lines ``V D`` dropped.
+    """word2vec text vectors (A6): ``(word, vec array<float>, ln)``; a header ``V D`` that begins a file is dropped.
+
+    ``ln`` grows in file order, so the word index and ``restrict_vocab`` can be built from it.
 
     A directory of part files each with its own header (as written by
     ``sinks.write_vectors``) reads the same way.  Undecodable bytes are
     replaced by the text reader.
     """
-    raw = spark.read.option("recursiveFileLookup", "true").text(path)
-    parts = F.split(F.trim(F.col("value")), r"\s+")
-    header = (F.size(parts) == 2) & parts[0].rlike(r"^\d+$") & parts[1].rlike(r"^\d+$")
-    body = raw.where(~header & (F.trim("value") != ""))
+    raw = spark.read.option("recursiveFileLookup", "true").text(path).select(
+        "value", F.monotonically_increasing_id().alias("ln"), F.col("_metadata.file_path").alias("_f"))
+    firsts = raw.groupBy("_f").agg(F.min("ln").alias("_first"))  # one row per file
     p = F.split(F.trim(F.col("value")), r"\s+")
-    return body.select(p[0].alias("word"), F.slice(p, 2, F.size(p) - 1).cast("array<float>").alias("vec"))
+    header = (F.col("ln") == F.col("_first")) & (F.size(p) == 2) & p[0].rlike(r"^\d+$") & p[1].rlike(r"^\d+$")
+    body = raw.join(firsts, "_f").where(~header & (F.trim("value") != ""))
+    return body.select(p[0].alias("word"), F.slice(p, 2, F.size(p) - 1).cast("array<float>").alias("vec"), "ln")
 
 
 def shuffled_passes(sents: DataFrame, seed: int, passes: int, key: str = "doc_id",

@@ -13,21 +13,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlm.operators.ngram import TrigramModel
+from textlm.session import ensure_checkpoint_dir
+
+# Plain tab-joined fields: a quote is an ordinary character of a token.
+PLAIN_TSV = {"sep": "\t", "quote": "", "escape": "", "emptyValue": "", "ignoreLeadingWhiteSpace": "false",
+             "ignoreTrailingWhiteSpace": "false"}
 
 
 def write_vectors(df: DataFrame, path: str) -> None:
-    """word2vec text (A6): each part file starts with its own ``rows dim`` header."""
+    """word2vec text (A6): each part file starts with one ``rows dim`` header of its own.
+
+    The partitions are fixed by a checkpoint and counted first, since a header
+    precedes its rows and a partition is never held whole.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    tagged = df.select("word", "vec").checkpoint(eager=True).withColumn("_pid", F.spark_partition_id())
+    sizes = df.sparkSession.createDataFrame(
+        [tuple(r) for r in tagged.groupBy("_pid").count().collect()], "_pid int, _n bigint")
 
     def fmt(batches):
+        first = True
         for pdf in batches:
             if pdf.empty:
                 continue
-            dim = len(pdf["vec"].iloc[0])
-            lines = [f"{len(pdf)} {dim}"] + [
-                w + " " + " ".join(repr(float(x)) for x in v) for w, v in zip(pdf["word"], pdf["vec"])]
+            lines = [f"{pdf['_n'].iloc[0]} {len(pdf['vec'].iloc[0])}"] if first else []
+            first = False
+            lines += [w + " " + " ".join(repr(float(x)) for x in v) for w, v in zip(pdf["word"], pdf["vec"])]
             yield pd.DataFrame({"value": lines})
 
-    df.select("word", "vec").mapInPandas(fmt, "value string").write.mode("overwrite").text(path)
+    tagged.join(F.broadcast(sizes), "_pid").select("word", "vec", "_n").mapInPandas(fmt, "value string") \
+        .write.mode("overwrite").text(path)
 
 
 def write_vectors_parquet(df: DataFrame, path: str) -> None:
@@ -72,18 +87,18 @@ def load_neural(spark: SparkSession, path: str):
 
 def write_scores(df: DataFrame, path: str, header: bool = True) -> None:
     """``files label perpl`` TSV (A9), with or without a header line."""
-    (df.select("files", "label", "perpl").write.mode("overwrite").option("sep", "\t")
+    (df.select("files", "label", "perpl").write.mode("overwrite").options(**PLAIN_TSV)
      .option("header", str(header).lower()).csv(path))
 
 
 def append_scores(df: DataFrame, path: str) -> None:
     """Append rows as documents finish (A9, streaming use)."""
-    df.select("files", "label", "perpl").write.mode("append").option("sep", "\t").csv(path)
+    df.select("files", "label", "perpl").write.mode("append").options(**PLAIN_TSV).csv(path)
 
 
 def write_pairs(df: DataFrame, path: str, a: str = "src_lempos", b: str = "tgt_lempos") -> None:
     """Two-column TSV of pairs (A10)."""
-    df.select(a, b).write.mode("overwrite").option("sep", "\t").csv(path)
+    df.select(a, b).write.mode("overwrite").options(**PLAIN_TSV).csv(path)
 
 
 def write_per_document(df: DataFrame, path: str) -> None:
