@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from textlm.llm.common import ascii_lower, let
 
-LEFT, RIGHT = 10, 30  # words read before and after a keyword; no rule is longer
+LEFT, RIGHT = 16, 30  # words read before and after a keyword; no rule is longer
 
 # The phrases whose every place is counted (never suppressed).
 BASE_RULES = """
@@ -119,8 +119,8 @@ apache-1.0     | 80 | apache (?:software )?{license} (?:version |v)?1 0
 gpl-1.0        | 80 | gnu general public {license} (?:version |v)?1(?: 0)?
 gpl-2.0        | 80 | (?:the )?(?:gnu )?general public {license} (?:version |v)2(?: 0)?
 gpl-3.0        | 80 | (?:the )?(?:gnu )?general public {license} (?:version |v)3(?: 0)?
-gpl-2.0+       | 80 | general public {license} (?:version |v)2(?: 0)? or (?:at your option )?(?:any )?later(?: version)?
-gpl-3.0+       | 80 | general public {license} (?:version |v)3(?: 0)? or (?:at your option )?(?:any )?later(?: version)?
+gpl-2.0+       | 80 | (?:the )?(?:gnu )?general public {license} (?:version |v)2(?: 0)? or (?:at your option )?(?:any )?later(?: version)?
+gpl-3.0+       | 80 | (?:the )?(?:gnu )?general public {license} (?:version |v)3(?: 0)? or (?:at your option )?(?:any )?later(?: version)?
 gpl-2.0        | 80 | gnu {gpl} (?:version |v)?2(?: 0)?
 gpl-3.0        | 80 | gnu {gpl} (?:version |v)?3(?: 0)?
 gpl-2.0        | 80 | {gplv2}
@@ -133,22 +133,22 @@ gpl            | 80 | gnu general public {licence}
 gpl            | 80 | {licensed} under (?:the )?(?:terms of the )?(?:gnu )?gpl
 gpl-exception  | 80 | {gpl} with (?:the )?(?:classpath|linking|runtime library) exception
 gpl-exception  | 80 | {gpl} v?[23](?: 0)? with (?:the )?(?:classpath|linking|gcc runtime library) exception
-lgpl           | 80 | (?:gnu )?lesser general public {license}
+lgpl           | 80 | (?:the )?(?:gnu )?lesser general public {license}
 lgpl           | 80 | (?:gnu )?library general public {license}
-lgpl-2.0       | 80 | library general public {license} (?:version |v)?2(?: 0)?
-lgpl-2.1       | 80 | lesser general public {license} (?:version |v)?2 1
-lgpl-3.0       | 80 | lesser general public {license} (?:version |v)?3(?: 0)?
+lgpl-2.0       | 80 | (?:the )?(?:gnu )?library general public {license} (?:version |v)?2(?: 0)?
+lgpl-2.1       | 80 | (?:the )?(?:gnu )?lesser general public {license} (?:version |v)?2 1
+lgpl-3.0       | 80 | (?:the )?(?:gnu )?lesser general public {license} (?:version |v)?3(?: 0)?
 lgpl-2.1       | 80 | {lgpl} (?:version |v)?2 1
 lgpl-3.0       | 80 | {lgpl} (?:version |v)?3(?: 0)?
 lgpl-2.1       | 80 | {lgplv2} 1
 lgpl-3.0       | 80 | {lgplv3}
 agpl           | 80 | (?:gnu )?affero general public {license}
-agpl-3.0       | 80 | affero general public {license} (?:version |v)?3(?: 0)?
+agpl-3.0       | 80 | (?:the )?(?:gnu )?affero general public {license} (?:version |v)?3(?: 0)?
 agpl-3.0       | 80 | {agpl} (?:version |v)?3(?: 0)?
 agpl-3.0       | 80 | {agplv3}
 gfdl           | 80 | (?:gnu )?free documentation {license}
-gfdl-1.2       | 80 | free documentation {license} (?:version |v)?1 2
-gfdl-1.3       | 80 | free documentation {license} (?:version |v)?1 3
+gfdl-1.2       | 80 | (?:the )?(?:gnu )?free documentation {license} (?:version |v)?1 2
+gfdl-1.3       | 80 | (?:the )?(?:gnu )?free documentation {license} (?:version |v)?1 3
 bsd            | 80 | {bsd} (?:style )?license
 bsd            | 80 | {bsd} licensed
 bsd            | 80 | {licensed} under (?:the |a )?bsd
