@@ -49,7 +49,8 @@ abschaum widerlich wertlos
 """.split()
 SECOND = "you your yours yourself youre u ur du dich dir dein deine ihr euch tu te ton ta tes vous votre usted ustedes vosotros".split()
 _LEET = bytes.maketrans(b"013457@$", b"oieastas")
-_OBSCURED = re.compile(rb"[a-z]+[0-9@$*!.\-]+[a-z]+[a-z0-9@$*!.\-]*")
+# begins only where a run of letters begins and never backs up: linear in the text
+_OBSCURED = re.compile(rb"(?<![a-z])[a-z]++[0-9@$*!.\-]++[a-z]++[a-z0-9@$*!.\-]*+")
 _REPEATED = re.compile(r"[!?]{2,}")
 _LETTERS3 = re.compile(r"([^\W\d_])\1\1")
 N_FEATURES = 16
