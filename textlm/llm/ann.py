@@ -29,9 +29,9 @@ K = 20
 PROJECTIONS = 64
 THRESHOLD = 38
 SHARE = 0.25
-SHARD_ROWS = 4096
+SHARD_ROWS = 8192
 QUERY_BLOCK = 2048
-FIRST, STEP, RADII = 0.6, 1.25, 14  # the windows' first radius, their growth, and how many there are
+FIRST, STEP, RADII = 0.8, 1.25, 14  # the windows' first radius, their growth, and how many there are
 SEED = 20_240_603
 
 
