@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 K = 20
 PROJECTIONS = 64
 THRESHOLD = 38
-SHARE = 0.25
-SHARD_ROWS = 8192
+SHARE = 0.15
+SHARD_ROWS = 4096
 QUERY_BLOCK = 2048
 FIRST, STEP, RADII = 0.8, 1.25, 14  # the windows' first radius, their growth, and how many there are
 SEED = 20_240_603
@@ -99,7 +99,13 @@ def _search(k: int, share: float, longest: float):
             for i, (q, vector) in enumerate(zip(queries.column("vec_id").to_numpy(), asked, strict=True)):
                 at = index.candidates(lo[:, :, i], hi[:, :, i], wanted)
                 at = at[ids[at] != q]
-                score = (index.vectors[at] * vector).sum(1)
+                near = index.vectors[at]
+                if len(at) > k:  # a quick product first; whatever it puts near the k-th is then summed in one way for all
+                    quick = near @ vector
+                    kth = np.partition(quick, len(at) - k)[len(at) - k]
+                    hold = quick >= kth - 1e-9 * max(1.0, float(np.abs(quick).max()))
+                    at, near = at[hold], near[hold]
+                score = (near * vector).sum(1)
                 best = np.lexsort((ids[at], -score))[:k]
                 out_q.append(np.full(len(best), q))
                 out_v.append(ids[at][best])
