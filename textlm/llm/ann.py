@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 K = 20
 PROJECTIONS = 64
 THRESHOLD = 38
-SHARE = 0.15
+SHARE = 0.18
 SHARD_ROWS = 4096
 QUERY_BLOCK = 2048
 FIRST, STEP, RADII = 0.8, 1.25, 14  # the windows' first radius, their growth, and how many there are
