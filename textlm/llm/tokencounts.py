@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textlm.llm.common import each
+from textlm.llm.common import each, stored
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the split pattern that belongs to the vocabulary (its own rule for words, numbers, signs, blanks).
@@ -85,4 +85,5 @@ def length_answers(histogram: DataFrame) -> DataFrame:
 
 
 def token_report(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    return length_answers(length_histogram(encoded_lengths(docs, vocabulary=vocabulary)))
+    # written once: several sums read it, and encoding is the costly part
+    return length_answers(stored(length_histogram(encoded_lengths(docs, vocabulary=vocabulary))))
