@@ -223,7 +223,8 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS,
                                                F.floor((F.col("begin") + F.col("size") - 1) / block)))
     shares = d.select("*", F.explode_outer(one).alias("block")).withColumn("words", F.least(
         F.col("begin") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("begin"), F.col("block") * block))
-    j = shares.join(reads, ["sid", "block"], "left")
+    # what a row of draws stands for is no part of an estimate: unhinted, all blocks would be broadcast
+    j = shares.join(reads.hint("merge"), ["sid", "block"], "left")
     return j.groupBy("rid", "doc_id", "source", "size", "source_size", "target").agg(
         F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).cast("bigint").alias("taken")) \
         .select("doc_id", "source", "size", "source_size", "target", "taken")
