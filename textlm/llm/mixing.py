@@ -40,6 +40,7 @@ MAX_EPOCHS = 3
 BLOCK = 32
 SHARD_SLOTS = 4096  # slots of an output shard, more where MAX_SHARDS would be passed
 MAX_SHARDS = 65_536
+TASK_SLOTS = 1 << 24  # slots that one task maps to blocks, about
 SEED = 20_240_602
 MAX_SOURCES = 100_000
 _ROWS = 1 << 16
@@ -190,12 +191,15 @@ def read_slots(counts: DataFrame, sources: list[dict], seed: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), sid)), pa.array(out)],
                                                      names=["sid", "block"])
 
-    # a slot's index hangs on (source, slot number) alone: long runs are cut for the tasks
+    # a slot's index hangs on (source, slot number) alone: long runs are cut, and the pieces dealt to a fixed number
+    # of tasks, since their rows are small and adaptive execution would put them all into one
     piece = 8 * _ROWS
+    tasks = max(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                int(sum(s["slots"] for s in sources) // TASK_SLOTS) + 1)
     cut = counts.select("sid", "slots", "first", F.explode(F.sequence(
         F.lit(0).cast("bigint"), F.floor((F.col("slots") - 1) / piece).cast("bigint"))).alias("i")).select(
         "sid", F.least(F.lit(piece), F.col("slots") - F.col("i") * piece).cast("bigint").alias("slots"),
-        (F.col("first") + F.col("i") * piece).alias("first"))
+        (F.col("first") + F.col("i") * piece).alias("first")).repartition(tasks, "sid", "first")
     return cut.mapInArrow(run, "sid bigint, block bigint")
 
 
