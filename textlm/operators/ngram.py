@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlm.functions.maths import OOV_MASS
@@ -28,6 +28,8 @@ class TrigramModel:
     tri: DataFrame
     meta: DataFrame
     size: DataFrame | None = None  # one row ``corpus_size`` (what scoring needs)
+    counts: DataFrame | None = None  # (w1, w2, w3, c) and totals of its contexts, if fitted here
+    totals: DataFrame | None = None
 
     def corpus_size(self) -> DataFrame:
         return self.size if self.size is not None else self.meta.select("corpus_size")
@@ -77,19 +79,19 @@ def trigram_counts(sents: DataFrame, k: int = K) -> DataFrame:
     return kgrams(sents, k).groupBy("w1", "w2", "w3").agg(F.count("*").alias("c"))
 
 
-def trigram_probs(counts: DataFrame, first_flag: bool = False) -> DataFrame:
+def context_totals(counts: DataFrame) -> DataFrame:
+    """``(w1, w2, total, n_cont)``: count and number of distinct continuations of every context."""
+    return counts.groupBy("w1", "w2").agg(F.sum("c").alias("total"), F.count("*").alias("n_cont"))
+
+
+def trigram_probs(counts: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """``(w1, w2, w3, c, p)`` with ``p = c / sum(c)`` over the context (D3).
 
-    The window runs over *distinct* trigrams, so a hot context holds at most
-    one row per distinct continuation (bounded by the vocabulary), and the
-    exchange on (w1, w2) is the only one after the count.  ``first_flag``
-    adds ``ctx_first`` (one row per context) from the same window.
+    Totals are aggregated partially and joined back, so a hot context is never
+    one group: the join's skewed partitions can be split, a window's cannot.
     """
-    ctx = Window.partitionBy("w1", "w2")
-    out = counts.withColumn("p", F.col("c") / F.sum("c").over(ctx))
-    if first_flag:
-        out = out.withColumn("ctx_first", F.row_number().over(ctx.orderBy("w3")) == 1)
-    return out
+    totals = (context_totals(counts) if totals is None else totals).select("w1", "w2", "total")
+    return counts.join(totals, ["w1", "w2"]).select("w1", "w2", "w3", "c", (F.col("c") / F.col("total")).alias("p"))
 
 
 def gram_counts(sents: DataFrame, k: int = K) -> DataFrame:
@@ -115,14 +117,13 @@ def fit_trigram(sents: DataFrame, k: int = K) -> TrigramModel:
     vocab = counts.where(F.col("w1").isNull()).select(F.col("w3").alias("word"), F.col("c").alias("n"))
     size = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("corpus_size"))
     uni = unigram_probs(vocab, size)
-    tri_flagged = trigram_probs(counts.where(F.col("w1").isNotNull()), first_flag=True)
-    tri = tri_flagged.drop("ctx_first")
-    stats = tri_flagged.agg(
-        F.count("*").alias("n_trigrams"),
-        F.sum(F.col("ctx_first").cast("bigint")).alias("n_contexts"),
-    )
+    grams = counts.where(F.col("w1").isNotNull())
+    totals = context_totals(grams)
+    tri = trigram_probs(grams, totals)
+    stats = totals.agg(F.coalesce(F.sum("n_cont"), F.lit(0)).cast("bigint").alias("n_trigrams"),
+                       F.count("*").alias("n_contexts"))
     meta = size.crossJoin(vocab.agg(F.count("*").alias("vocab_size"))).crossJoin(stats)
-    return TrigramModel(uni=uni, tri=tri, meta=meta, size=size)
+    return TrigramModel(uni=uni, tri=tri, meta=meta, size=size, counts=grams, totals=totals)
 
 
 def score_tokens(test: DataFrame, model: TrigramModel, keep: tuple[str, ...], k: int = K) -> DataFrame:
@@ -131,20 +132,23 @@ def score_tokens(test: DataFrame, model: TrigramModel, keep: tuple[str, ...], k:
     Back-off: seen trigram -> ``c / sum(c)``; else known word -> unigram;
     else ``0.99 / corpus_size``.  A trigram hit raises neither counter.
 
-    Plan: the occurrences meet ``tri`` in one shuffle on (w1, w2, w3); ``uni``
+    Plan: the occurrences meet the counts as these were aggregated, on (w1, w2,
+    w3), and only then the totals on (w1, w2), so neither a window nor a table
+    of probabilities gathers a hot context; a model read from files has ``p``
+    and needs no totals.  ``uni``
     is joined on w3 (adaptive execution broadcasts it when its measured size
     is small, otherwise the hot words such as the end-of-line token are split
     by the skew-join rule); ``meta`` is one row.
     """
     grams = kgrams(test, k, keep)
-    tri = model.tri.select("w1", "w2", "w3", F.col("p").alias("p_tri"))
+    if model.totals is None:
+        found = grams.join(model.tri.select("w1", "w2", "w3", F.col("p").alias("p_tri")), ["w1", "w2", "w3"], "left")
+    else:
+        found = grams.join(model.counts, ["w1", "w2", "w3"], "left").join(
+            model.totals.select("w1", "w2", "total"), ["w1", "w2"], "left").withColumn("p_tri", F.col("c") / F.col("total"))
     uni = model.uni.select(F.col("word").alias("w3"), F.col("p").alias("p_uni"))
     meta = F.broadcast(model.corpus_size())
-    scored = (
-        grams.join(tri, ["w1", "w2", "w3"], "left")
-        .join(uni, ["w3"], "left")
-        .crossJoin(meta)
-    )
+    scored = found.join(uni, ["w3"], "left").crossJoin(meta)
     hit = F.col("p_tri").isNotNull()
     known = F.col("p_uni").isNotNull()
     return scored.select(
