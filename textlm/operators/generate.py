@@ -14,7 +14,7 @@ with every continuation.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlm.operators.ngram import TrigramModel
@@ -37,14 +37,14 @@ def _buckets(lo: Column, hi: Column, width: Column) -> Column:
 
 def generate_sample(seeds: DataFrame, model: TrigramModel, keys: tuple[str, ...], seed: int = 42) -> DataFrame:
     """``(*keys, w1, w2, next_word, from_context)``."""
-    ctx = Window.partitionBy("w1", "w2")
-    tri = model.tri.select("w1", "w2", "w3", "c").select(
-        "w1", "w2", "w3", "c",
-        F.sum("c").over(ctx.orderBy("w3").rowsBetween(Window.unboundedPreceding, 0)).alias("hi"),
-        F.sum("c").over(ctx).alias("total"), F.count("*").over(ctx).alias("n_cont"))
-    tri = tri.withColumn("lo", F.col("hi") - F.col("c")).withColumn(
-        "width", F.greatest(F.lit(1), F.ceil(F.col("total") / F.col("n_cont"))).cast("bigint"))
-    ctx_tot = tri.select("w1", "w2", "total", "width").distinct()
+    # prefix sums over all continuations, less what lies before the context: a hot context spreads over partitions
+    cum = global_cumsum(model.tri.select("w1", "w2", "w3", "c"), ["w1", "w2", "w3"], "c", "before")
+    ctx_tot = cum.groupBy("w1", "w2").agg(
+        F.sum("c").alias("total"), F.min("before").alias("start"),
+        F.greatest(F.lit(1), F.ceil(F.sum("c") / F.count("*"))).cast("bigint").alias("width"))
+    tri = cum.join(ctx_tot, ["w1", "w2"]).withColumn("lo", F.col("before") - F.col("start")).withColumn(
+        "hi", F.col("lo") + F.col("c"))
+    ctx_tot = ctx_tot.drop("start")
 
     s = seeds.withColumn("u", _u(seed, keys))
     known = s.join(ctx_tot, ["w1", "w2"], "inner")
@@ -81,9 +81,8 @@ def _unigram_draw(unknown: DataFrame, model: TrigramModel, keys: tuple[str, ...]
 def generate_argmax(seeds: DataFrame, model: TrigramModel, keys: tuple[str, ...], seed: int = 42) -> DataFrame:
     """Most frequent continuation (ties: smaller word); unknown context -> word at a
     seeded uniform position of the word index (D8)."""
-    ctx = Window.partitionBy("w1", "w2").orderBy(F.col("c").desc(), F.col("w3").asc())
-    best = model.tri.select("w1", "w2", "w3", "c").withColumn("_r", F.row_number().over(ctx)).where(
-        F.col("_r") == 1).select("w1", "w2", F.col("w3").alias("next_word"))
+    best = model.tri.groupBy("w1", "w2").agg(F.min(F.struct((-F.col("c")).alias("neg"), "w3")).alias("b")).select(
+        "w1", "w2", F.col("b.w3").alias("next_word"))
     s = seeds.withColumn("u", _u(seed, keys))
     known = s.join(best, ["w1", "w2"], "inner").select(*keys, "w1", "w2", "next_word",
                                                        F.lit(True).alias("from_context"))
