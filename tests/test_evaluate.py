@@ -67,6 +67,20 @@ def test_centroid_every_row_in_one_fold(spark):
     assert pred.count() == 60 and pred.select("doc_id").distinct().count() == 60
 
 
+def test_missing_rows_enter_no_centroid(spark):
+    rows = [(i, "g", 10.0, False, i % 2) for i in range(6)] + [(10 + i, "b", 2.0, False, i % 2) for i in range(4)]
+    rows += [(20 + i, "b", 0.0, True, i % 2) for i in range(6)] + [(30, "g", 0.0, True, 0), (31, "b", 4.0, False, 1)]
+    folded = spark.createDataFrame(rows, "doc_id long, label string, x double, is_missing boolean, fold long")
+    pred = {r.doc_id: r.prediction for r in ev.cv_centroid(folded).collect()}
+    assert all(pred[i] == "g" for i in range(6)) and all(pred[10 + i] == "b" for i in range(4))
+    # with missing rows as 0 the centroid of b would be near 1, not 2 or more
+    assert pred[31] == "b" and all(pred[20 + i] == "b" for i in range(6)) and pred[30] == "b"
+    # nothing but missing rows in the other fold
+    only = spark.createDataFrame([(1, "g", 1.0, False, 0), (2, "b", 0.0, True, 1), (3, "b", 0.0, True, 1)],
+                                 "doc_id long, label string, x double, is_missing boolean, fold long")
+    assert {r.doc_id: r.prediction for r in ev.cv_centroid(only).collect()} == {1: "b", 2: "g", 3: "g"}
+
+
 def test_row_numbers_split_a_hot_key(spark):
     # one value holds half of all rows: its run must spread over several partitions
     df = spark.range(0, 4000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"))

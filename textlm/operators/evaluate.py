@@ -88,24 +88,34 @@ def cv_centroid(folded: DataFrame) -> DataFrame:
     """Out-of-fold nearest-centroid predictions (G9 with a deterministic classifier).
 
     The centroid of class k for fold i is the mean ``x`` of class k over the
-    other folds; ties go to the smaller label.
+    other folds; ties go to the smaller label.  Rows marked ``is_missing`` (if
+    there is such a column) enter no centroid; they are predicted by the mark,
+    as a tree's branch for missing values would be: the class with most missing
+    rows in the other folds, then with most rows, then the smaller label.  The
+    same holds for all rows where the other folds have no centroid.
     """
-    per = folded.groupBy("fold", "label").agg(F.sum("x").alias("s_fold"), F.count("*").alias("c_fold"))
-    tot = per.groupBy("label").agg(F.sum("s_fold").alias("s_all"), F.sum("c_fold").alias("c_all"))
+    missing = F.col("is_missing") if "is_missing" in folded.columns else F.lit(False)
+    rows = folded.withColumn("_x", F.when(~missing, F.col("x")))
+    per = rows.groupBy("fold", "label").agg(
+        F.coalesce(F.sum("_x"), F.lit(0.0)).alias("s"), F.count("_x").alias("c"), F.count("*").alias("n"))
+    tot = per.groupBy("label").agg(*[F.sum(k).alias(f"{k}_all") for k in ("s", "c", "n")])
     folds = per.select("fold").distinct()
-    rest = F.col("c_all") - F.coalesce("c_fold", F.lit(0))
+
+    def rest(k: str) -> F.Column:
+        return F.col(f"{k}_all") - F.coalesce(F.col(k), F.lit(0))
+
     grid = folds.crossJoin(tot).join(per, ["fold", "label"], "left").select(
-        "fold", "label",
-        F.when(rest > 0, (F.col("s_all") - F.coalesce("s_fold", F.lit(0.0))) / rest).alias("centroid"),
-    ).where(F.col("centroid").isNotNull())
+        "fold", "label", F.when(rest("c") > 0, rest("s") / rest("c")).alias("centroid"),
+        (rest("c") - rest("n")).alias("neg_missing"), (-rest("n")).alias("neg_n"))
     cents = grid.groupBy("fold").agg(
-        F.collect_list(F.struct("label", "centroid")).alias("cents")
-    )
-    j = folded.join(F.broadcast(cents), "fold")
+        F.collect_list(F.when(F.col("centroid").isNotNull(), F.struct("label", "centroid"))).alias("cents"),
+        F.min(F.struct("neg_missing", "neg_n", "label"))["label"].alias("by_mark"))
+    j = rows.join(F.broadcast(cents), "fold")
     best = F.array_min(F.transform(
-        "cents", lambda c: F.struct(F.abs(F.col("x") - c["centroid"]).alias("d"), c["label"].alias("label"))
+        "cents", lambda c: F.struct(F.abs(F.col("_x") - c["centroid"]).alias("d"), c["label"].alias("label"))
     ))
-    return j.select("doc_id", "label", "fold", "x", best["label"].alias("prediction"))
+    return j.select("doc_id", "label", "fold", "x", F.when(F.col("_x").isNull(), F.col("by_mark")).otherwise(
+        F.coalesce(best["label"], F.col("by_mark"))).alias("prediction"))
 
 
 def uniform(seed: int, key: str) -> F.Column:

@@ -21,7 +21,7 @@ def feature_rows(spark: SparkSession, sf: str, measure: str = "ppl2") -> DataFra
 
 
 def folded(spark: SparkSession, sf: str) -> DataFrame:
-    return ev.stratified_folds(feature_rows(spark, sf).select("doc_id", "label", "x"), N_SPLITS)
+    return ev.stratified_folds(feature_rows(spark, sf), N_SPLITS)
 
 
 def centroid_predictions(spark: SparkSession, sf: str) -> DataFrame:
@@ -86,7 +86,7 @@ def q_dummy_report(spark: SparkSession, sf: str) -> DataFrame:
 
 def _cv_scores_for(measure: str, n_splits: int):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        f = ev.stratified_folds(feature_rows(spark, sf, measure).select("doc_id", "label", "x"), n_splits)
+        f = ev.stratified_folds(feature_rows(spark, sf, measure), n_splits)
         s = ev.cv_scores(ev.cv_fold_scores(ev.cv_centroid(f)))
         return s.select("n_folds", *[r(c, X_DIGITS) for c in ("accuracy_mean", "accuracy_sd2", "f1_mean", "f1_sd2")])
 

@@ -8,7 +8,7 @@ N = 10
 
 def folds_sql(measure: str = "ppl2", n: int = N) -> str:
     return f"""
-rows AS (SELECT doc_id, label, coalesce({measure}, 0.0) AS x FROM texts),
+rows AS (SELECT doc_id, label, coalesce({measure}, 0.0) AS x, {measure} IS NULL AS is_missing FROM texts),
 class_n AS (SELECT label, count(*) AS n, min(doc_id) AS first_id FROM rows GROUP BY label),
 classes AS (
   SELECT label, n,
@@ -27,11 +27,11 @@ fold_bounds AS (
   FROM fold_sizes
 ),
 ranked AS (
-  SELECT r.doc_id, r.label, r.x, row_number() OVER (ORDER BY r.label, r.doc_id) - 1 - c.sort_start AS rk
+  SELECT r.doc_id, r.label, r.x, r.is_missing, row_number() OVER (ORDER BY r.label, r.doc_id) - 1 - c.sort_start AS rk
   FROM rows r JOIN classes c ON c.label = r.label
 ),
 folded AS (
-  SELECT r.doc_id, r.label, r.x, b.fold
+  SELECT r.doc_id, r.label, r.x, r.is_missing, b.fold
   FROM ranked r JOIN fold_bounds b ON b.label = r.label AND r.rk >= b.lo AND r.rk < b.hi
 )
 """
@@ -40,21 +40,37 @@ folded AS (
 FOLDS = folds_sql()
 
 CENTROID = """
-per AS (SELECT fold, label, sum(x) AS s_fold, count(*) AS c_fold FROM folded GROUP BY fold, label),
-tot AS (SELECT label, sum(s_fold) AS s_all, sum(c_fold) AS c_all FROM per GROUP BY label),
+per AS (
+  SELECT fold, label, coalesce(sum(x) FILTER (NOT is_missing), 0.0) AS s_fold,
+         count(*) FILTER (NOT is_missing) AS c_fold, count(*) AS n_fold
+  FROM folded GROUP BY fold, label
+),
+tot AS (SELECT label, sum(s_fold) AS s_all, sum(c_fold) AS c_all, sum(n_fold) AS n_all FROM per GROUP BY label),
 grid AS (
   SELECT f.fold, t.label,
          CASE WHEN t.c_all - coalesce(p.c_fold, 0) > 0
-              THEN (t.s_all - coalesce(p.s_fold, 0)) / (t.c_all - coalesce(p.c_fold, 0)) END AS centroid
+              THEN (t.s_all - coalesce(p.s_fold, 0)) / (t.c_all - coalesce(p.c_fold, 0)) END AS centroid,
+         t.n_all - coalesce(p.n_fold, 0) AS n,
+         t.n_all - coalesce(p.n_fold, 0) - t.c_all + coalesce(p.c_fold, 0) AS n_missing
   FROM (SELECT DISTINCT fold FROM per) f CROSS JOIN tot t
   LEFT JOIN per p ON p.fold = f.fold AND p.label = t.label
 ),
-pred AS (
-  SELECT doc_id, label, fold, x, prediction FROM (
-    SELECT fo.doc_id, fo.label, fo.fold, fo.x, g.label AS prediction,
+by_mark AS (
+  SELECT fold, label FROM (
+    SELECT fold, label, row_number() OVER (PARTITION BY fold ORDER BY n_missing DESC, n DESC, label) AS k FROM grid)
+  WHERE k = 1
+),
+nearest AS (
+  SELECT doc_id, prediction FROM (
+    SELECT fo.doc_id, g.label AS prediction,
            row_number() OVER (PARTITION BY fo.doc_id ORDER BY abs(fo.x - g.centroid), g.label) AS k
-    FROM folded fo JOIN grid g ON g.fold = fo.fold AND g.centroid IS NOT NULL)
+    FROM folded fo JOIN grid g ON g.fold = fo.fold AND g.centroid IS NOT NULL
+    WHERE NOT fo.is_missing)
   WHERE k = 1
+),
+pred AS (
+  SELECT fo.doc_id, fo.label, fo.fold, fo.x, coalesce(m.prediction, b.label) AS prediction
+  FROM folded fo JOIN by_mark b ON b.fold = fo.fold LEFT JOIN nearest m ON m.doc_id = fo.doc_id
 )
 """
 
