@@ -99,3 +99,16 @@ def test_no_local_checkpoint_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         ensure_checkpoint_dir(Session())
+
+
+def test_ties_at_the_cut_are_bounded():
+    import numpy as np
+
+    from textlm.operators.vectors import _cut
+
+    words = np.array([[f"w{i:03d}" for i in range(50)][::-1]] * 2, dtype=object)
+    scores = np.ones((2, 50))
+    scores[1, 40] = 2.0
+    s, w = _cut(scores, words, 5)
+    assert s.shape == (2, 5) and w[0].tolist() == [f"w{i:03d}" for i in range(5)]
+    assert w[1].tolist() == ["w009", *[f"w{i:03d}" for i in range(4)]]

@@ -61,7 +61,7 @@ def _topn_schema() -> T.StructType:
 
 
 def _partition_topn(q_words: list[str], q_unit: np.ndarray, n: int):
-    """Per-partition running top-n per query (ties at the cut are all kept)."""
+    """Per-partition running top-n per query, ties by word; at most ``n`` are held."""
 
     chunk = max(1, SCORE_CELLS // max(1, len(q_words)))  # rows scored at once
 
@@ -99,6 +99,9 @@ def _cut(s: np.ndarray, w: np.ndarray, n: int):
     s2 = np.take_along_axis(s, order, axis=1)
     w2 = np.take_along_axis(w, order, axis=1)
     s2[~np.take_along_axis(keep, order, axis=1)] = -np.inf
+    if width > n:  # ties at the cut: the smaller words stay
+        order = np.lexsort((w2.astype(str), -s2), axis=1)[:, :n]
+        s2, w2 = np.take_along_axis(s2, order, axis=1), np.take_along_axis(w2, order, axis=1)
     return s2, w2
 
 
@@ -191,8 +194,10 @@ def missing_pairs(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def restrict_vocab(vectors: DataFrame, n: int, order: str = "vec_id") -> DataFrame:
-    """The first ``n`` vectors in file order (H9): a top-n, not a full sort."""
-    return vectors.orderBy(order).limit(n)
+    """The first ``n`` vectors in file order (H9), by distributed row numbers: ``n`` may be large."""
+    from textlm.operators.rownum import global_row_number
+
+    return global_row_number(vectors, [order], "_at").where(F.col("_at") < n).drop("_at")
 
 
 # ---------------------------------------------------------------- layer mixing
