@@ -1,8 +1,8 @@
 """A training-data pipeline over ``documents``: five stages of the operators in ``textlm.llm``.
 
 Each stage works on what the one before kept and, but for the last, returns the
-columns of its documents.  The last returns how often the mix reads each kept
-document.  Trained and seeded steps cannot be expressed in SQL; tests/llm holds
+columns of its documents.  The last writes the mixed corpus as a table (see
+``mixing.write_mix``) and returns what it holds of each kept document.  Trained and seeded steps cannot be expressed in SQL; tests/llm holds
 the stages against brute-force versions.
 """
 
@@ -44,7 +44,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document."""
+    """The mix is written; what it holds of each document."""
     return mixing.mix(docs)
 
 

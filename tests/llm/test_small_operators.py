@@ -96,6 +96,39 @@ def test_mix_meets_targets_and_reruns_agree(spark, make_docs):
     assert [r.taken for r in mixing.mix_report(make_docs([(1, ""), (2, None)])).collect()] == [0, 0]
 
 
+def test_mixed_rows_hold_the_documents_words(spark, make_docs, tmp_path):
+    rnd = random.Random(8)
+    said = lambda n: "".join(rnd.choice(["é", "b", "x漢"]) + rnd.choice([" ", " ", "\t", " \n "]) for _ in range(n))
+    rows = [(i, rnd.choice(["", " \n"]) + said(rnd.choice([0, 1, 5, 31, 32, 33, 64, 200])), rnd.choice(["a", "b", None]))
+            for i in range(150)] + [(200, None, "a"), (201, " \t", "b"), (None, "p q", "c"), (3, "p q", "c"), (3, "p q", "c")]
+    path = f"{tmp_path}/mix"
+    report = mixing.mix(make_docs(rows), shard_slots=20, path=path).collect()
+    mixed = sorted(spark.read.parquet(path).collect(), key=lambda r: (r.shard, r.slot))
+    shards, taken, blocks, read = defaultdict(list), Counter(), {}, defaultdict(Counter)
+    for r in mixed:
+        shards[r.shard].append(r.slot)
+        n = len(r.text.encode().split())
+        assert n == r.words == sum(p["words"] for p in r.parts) <= mixing.BLOCK
+        assert blocks.setdefault((r.source, r.block), r.text) == r.text
+        read[r.source][r.block] += 1
+        for p in r.parts:
+            taken[p["doc_id"]] += p["words"]
+    assert len(shards) > 3 and all(v == list(range(len(v))) for v in shards.values())
+    got = Counter()
+    for r in report:
+        got[r.doc_id] += r.taken
+    assert +got == taken and sum(taken.values()) > 0
+    for s in ("a", "b", "c", None):  # each block once an epoch, and with every block read the words of the source
+        size = sum(len((t or "").encode().split()) for _, t, x in rows if x == s)
+        times = read[s].values()
+        assert max(times) <= 3 and (len(times) < -(-size // mixing.BLOCK) or max(times) - min(times) <= 1)
+        if len(times) == -(-size // mixing.BLOCK):
+            words = Counter(w for (x, _), t in blocks.items() if x == s for w in t.encode().split())
+            assert words == Counter(w for _, t, x in rows if x == s for w in (t or "").encode().split())
+            joined = "".join(blocks[k] for k in sorted(k for k in blocks if k[0] == s))
+            assert all(t + "\n" in joined for _, t, x in rows if x == s and (t or "").encode().split())
+
+
 def test_permutation_is_one():
     for n in (1, 2, 3, 10, 1000):
         assert sorted(mixing.permuted(np.arange(n), n, 9).tolist()) == list(range(n))

@@ -13,8 +13,9 @@
 4. *Indices.*  The j-th slot of a source reads block j of a pseudorandom
    permutation of its blocks (a Feistel network, keyed by source and epoch), so
    that each block is read once an epoch.
-5. *Join.*  Slots are counted by (source, block index) and joined with the
-   documents' shares of the blocks.
+5. *Rows.*  Slots are joined by (source, block index) with the blocks' words
+   and written as the table of the mix; what the mix takes of each document is
+   counted from that table.
 
 Equal seeds and rows give equal mixes, however the rows are split into files.
 Sources are a catalogue: one row each, and a few numbers of each go to the
@@ -26,6 +27,7 @@ are packed each; with no words at all every target is 0.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlm.llm.common import stored
+from textlm.session import ensure_checkpoint_dir
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
@@ -43,7 +46,9 @@ MAX_SHARDS = 65_536
 TASK_SLOTS = 1 << 24  # slots that one task maps to blocks, about
 SEED = 20_240_602
 MAX_SOURCES = 100_000
+MIX_DIR = "textlm.mix.dir"  # session setting: the folder under which mixes are written
 _ROWS = 1 << 16
+_PARTS = "array<struct<rid:bigint,doc_id:bigint,words:bigint>>"
 _U = np.uint64
 
 
@@ -68,49 +73,120 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, max_epochs: float
     return s.select("sid", "source", "source_size", F.when(capped, F.col("cap")).otherwise(F.col("w") * level["level"]).alias("target"))
 
 
-def pack(docs: DataFrame) -> DataFrame:
-    """``(doc_id, source, size, rid, begin)``: the place of each document's words in its source.
+def pack(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, source, size, text, part)`` in packing order, and ``(source, part, words, base)``.
 
     The pseudorandom order is that of a hash of (doc_id, text); rows equal in
-    both are alike, and which comes first does not matter.
+    both are alike, and which comes first does not matter.  ``base``: words of
+    the source in earlier partitions; one row per partition and source in it.
     """
     d = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
-                    .cast("bigint").alias("size"), F.xxhash64("doc_id", "text").alias("h"),
+                    .cast("bigint").alias("size"), "text", F.xxhash64("doc_id", "text").alias("h"),
                     F.monotonically_increasing_id().alias("tie"))
     n = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["source", "h", "doc_id", "size", "tie"]
     d = stored(d.repartitionByRange(n, *order).sortWithinPartitions(*order)).drop("h", "tie")
     d = d.withColumn("part", F.spark_partition_id())
-    # words of a source in earlier partitions: one row per partition and source in it
     parts = d.groupBy("source", "part").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("base", F.coalesce(F.sum("words").over(earlier), F.lit(0))).select("source", "part", "base")
+    return d, stored(parts.withColumn("base", F.coalesce(F.sum("words").over(earlier), F.lit(0))))
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Batches of one partition with each row's number and the words of its source before it there."""
+    last, total, row = None, 0, 0
+    for batch in batches:
+        names, sizes = batch.column("source").to_pylist(), batch.column("size").to_numpy(zero_copy_only=False)
+        within = np.empty(len(sizes), np.int64)
+        cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
+            if last is None or last[0] != names[a]:
+                total = 0
+            last = (names[a],)
+            up = np.cumsum(sizes[a:b])
+            within[a:b] = total + up - sizes[a:b]
+            total += int(up[-1])
+        part = batch.column("part").to_numpy(zero_copy_only=False).astype(np.int64)
+        yield batch, (part << 33) + row + np.arange(len(sizes)), within
+        row += len(sizes)
+
+
+def _document_rows(packed: DataFrame) -> DataFrame:
+    """``(doc_id, source, size, rid)``: ``rid`` is a row's place in the packing order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, total, row = None, 0, 0
-        for batch in batches:
-            names, sizes = batch.column(1).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False)
-            begin = np.empty(len(sizes), np.int64)
-            cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if a == b:
-                    continue
-                if last is None or last[0] != names[a]:
-                    total = 0
-                last = (names[a],)
-                up = np.cumsum(sizes[a:b])
-                begin[a:b] = total + up - sizes[a:b]
-                total += int(up[-1])
-            part = batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
+        for batch, rid, _ in _numbered(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(rid)], names=["doc_id", "source", "size", "rid"])
+
+    return packed.select("doc_id", "source", "size", "part").mapInArrow(
+        run, "doc_id bigint, source string, size bigint, rid bigint")
+
+
+def cut_pieces(texts: pa.Array, begin: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """Texts that each have words, cut where a block ends: row, place of its first word, words and first byte of each piece.
+
+    ``begin``: the place of a text's first word in its source.  The pieces lie
+    side by side in the bytes returned and are the texts, each ended by a line
+    break: blanks go with the word before them.
+    """
+    texts = texts.cast(pa.large_string())
+    n = len(texts)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64, n + 1, 8 * texts.offset)
+    data = np.insert(np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0]:offsets[-1]], offsets[1:] - offsets[0], 10)
+    offsets = offsets - offsets[0] + np.arange(n + 1)
+    word = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    starts = word.copy()
+    starts[1:] &= ~word[:-1]
+    at = np.flatnonzero(starts)
+    first = np.searchsorted(at, offsets)
+    row = np.repeat(np.arange(n), np.diff(first))
+    place = begin[row] + np.arange(len(at)) - first[row]
+    cut = place % block == 0
+    cut[first[:-1]] = True
+    heads = np.flatnonzero(cut)
+    of, edge = row[heads], at[heads]
+    whole = np.concatenate(([True], of[1:] != of[:-1]))  # a text's first piece has the blanks before its first word
+    edge[whole] = offsets[of[whole]]
+    return of, place[heads], np.diff(np.append(heads, len(at))), edge, data.tobytes()
+
+
+def packed_blocks(packed: DataFrame, parts: DataFrame, targets: DataFrame, block: int) -> DataFrame:
+    """``(sid, block, runs)``: each block of each source, its runs of pieces in order, as (at, text, parts).
+
+    A run has the neighbouring pieces that one batch holds; most blocks are one.
+    """
+    base = parts.alias("b").join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))) \
+        .select("b.source", "b.part", "b.base", "t.sid")
+    # a row per source and a row per partition at most: MAX_SOURCES bounds what is broadcast, and the order stays
+    p, b = packed.alias("p"), F.broadcast(base).alias("b")
+    placed = p.join(b, F.col("p.source").eqNullSafe(F.col("b.source")) & (F.col("p.part") == F.col("b.part"))) \
+        .select("p.doc_id", "p.source", "p.size", "p.part", "p.text", "b.base", "b.sid")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, rid, within in _numbered(batches):
+            has = batch.column("size").to_numpy(zero_copy_only=False) > 0
+            if not has.any():
+                continue
+            some = batch.filter(pa.array(has))
+            begin = within[has] + some.column("base").to_numpy(zero_copy_only=False)
+            row, place, words, edge, data = cut_pieces(some.column("text"), begin, block)
+            number, at = np.divmod(place, block)
+            sid = some.column("sid").to_numpy(zero_copy_only=False).astype(np.int64)[row]
+            heads = np.flatnonzero(np.concatenate(([True], (number[1:] != number[:-1]) | (sid[1:] != sid[:-1]))))
+            text = pa.LargeStringArray.from_buffers(
+                len(heads), pa.py_buffer(np.append(edge[heads], len(data)).astype(np.int64)), pa.py_buffer(data))
+            pieces = pa.StructArray.from_arrays(
+                [pa.array(rid[has][row]), some.column("doc_id").take(pa.array(row)), pa.array(words.astype(np.int64))],
+                names=["rid", "doc_id", "words"])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(row)).astype(np.int32)), pieces)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array((part << 33) + row + np.arange(len(sizes))), pa.array(begin)],
-                names=["doc_id", "source", "size", "part", "rid", "within"])
-            row += len(sizes)
+                [pa.array(sid[heads]), pa.array(number[heads]), pa.array(at[heads]), text.cast(pa.string()), lists],
+                names=["sid", "block", "at", "text", "parts"])
 
-    placed = d.mapInArrow(run, "doc_id bigint, source string, size bigint, part int, rid bigint, within bigint")
-    p, b = placed.alias("p"), parts.alias("b")
-    return p.join(b, F.col("p.source").eqNullSafe(F.col("b.source")) & (F.col("p.part") == F.col("b.part"))) \
-        .select("p.doc_id", "p.source", "p.size", "p.rid", (F.col("p.within") + F.col("b.base")).alias("begin"))
+    runs = placed.mapInArrow(run, f"sid bigint, block bigint, at bigint, text string, parts {_PARTS}")
+    return runs.groupBy("sid", "block").agg(F.array_sort(F.collect_list(F.struct("at", "text", "parts"))).alias("runs"))
 
 
 def _mixed(x: np.ndarray, key: int) -> np.ndarray:
@@ -149,7 +225,9 @@ def _draw(shard: int, slots: np.ndarray, shards: int, seed: int) -> np.ndarray:
 
 
 def draw_counts(spark, sources: list[dict], shards: int, seed: int) -> DataFrame:
-    """``(shard, sid, slots, first)``: slots of a source in a shard, and how many earlier shards hold.
+    """``(shard, sid, slots, first, before, filled)``: slots of a source in a shard, and how many earlier shards hold.
+
+    ``before``: slots of earlier sources in the shard; ``filled``: of all.
 
     A source's slots end at ``MAX_EPOCHS`` epochs of its blocks, in the last shards if need be.
     """
@@ -167,47 +245,62 @@ def draw_counts(spark, sources: list[dict], shards: int, seed: int) -> DataFrame
     drawn = spark.range(shards).mapInArrow(run, "shard bigint, sid bigint, slots bigint")
     earlier = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     drawn = drawn.withColumn("first", F.coalesce(F.sum("slots").over(earlier), F.lit(0)))
+    in_shard = Window.partitionBy("shard")
+    before = F.sum("slots").over(in_shard.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1))
+    placed = {"before": F.coalesce(before, F.lit(0)), "filled": F.sum("slots").over(in_shard)}
     if not caps:
-        return drawn
+        return drawn.withColumns(placed)
     cap = F.array(*[F.lit(int(c)) for c in caps]) if len(caps) <= 64 else F.from_json(F.lit(str(caps)), "array<bigint>")
     room = F.greatest(cap[F.col("sid").cast("int")] - F.col("first"), F.lit(0))
-    return drawn.withColumn("slots", F.least("slots", room).cast("bigint")).where("slots > 0")
+    return drawn.withColumn("slots", F.least("slots", room).cast("bigint")).where("slots > 0") \
+        .withColumns(placed)
 
 
 def read_slots(counts: DataFrame, sources: list[dict], seed: int) -> DataFrame:
-    """``(sid, block)``: the block that each slot reads."""
+    """``(shard, slot, sid, block)``: the block that each slot reads; slots of a shard are in a pseudorandom order."""
     blocks = [s["blocks"] for s in sources]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for sid, n, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for at in range(first, first + n, _ROWS):
-                    slot = np.arange(at, min(at + _ROWS, first + n))
-                    epoch, index = np.divmod(slot, blocks[sid])
-                    out = np.empty(len(slot), np.int64)
+            for shard, sid, n, first, before, filled in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for at in range(0, n, _ROWS):
+                    here = np.arange(at, min(at + _ROWS, n))
+                    epoch, index = np.divmod(first + here, blocks[sid])
+                    out = np.empty(len(here), np.int64)
                     for e in np.unique(epoch).tolist():
-                        here = epoch == e
-                        out[here] = permuted(index[here], blocks[sid], (seed * 1_000_003 + sid) * 64 + e)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), sid)), pa.array(out)],
-                                                     names=["sid", "block"])
+                        one = epoch == e
+                        out[one] = permuted(index[one], blocks[sid], (seed * 1_000_003 + sid) * 64 + e)
+                    slot = permuted(before + here, filled, seed * 7_000_003 + shard)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(here), shard)), pa.array(slot), pa.array(np.full(len(here), sid)),
+                         pa.array(out)], names=["shard", "slot", "sid", "block"])
 
     # a slot's index hangs on (source, slot number) alone: long runs are cut, and the pieces dealt to a fixed number
     # of tasks, since their rows are small and adaptive execution would put them all into one
     piece = 8 * _ROWS
     tasks = max(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")),
                 int(sum(s["slots"] for s in sources) // TASK_SLOTS) + 1)
-    cut = counts.select("sid", "slots", "first", F.explode(F.sequence(
+    cut = counts.select("*", F.explode(F.sequence(
         F.lit(0).cast("bigint"), F.floor((F.col("slots") - 1) / piece).cast("bigint"))).alias("i")).select(
-        "sid", F.least(F.lit(piece), F.col("slots") - F.col("i") * piece).cast("bigint").alias("slots"),
-        (F.col("first") + F.col("i") * piece).alias("first")).repartition(tasks, "sid", "first")
-    return cut.mapInArrow(run, "sid bigint, block bigint")
+        "shard", "sid", F.least(F.lit(piece), F.col("slots") - F.col("i") * piece).cast("bigint").alias("slots"),
+        *[(F.col(c) + F.col("i") * piece).cast("bigint").alias(c) for c in ("first", "before")],
+        F.col("filled").cast("bigint").alias("filled")).repartition(tasks, "sid", "first")
+    return cut.mapInArrow(run, "shard bigint, slot bigint, sid bigint, block bigint")
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS, block: int = BLOCK,
-        shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
-    """``(doc_id, source, size, source_size, target, taken)``: one row per document of ``(doc_id, text, source)``."""
-    placed = pack(docs)
-    sizes = placed.groupBy("source").agg(F.sum("size").alias("source_size"))
+def write_mix(docs: DataFrame, path: str | None = None, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS,
+              block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """The mix of ``(doc_id, text, source)``, written as a parquet table, and ``(doc_id, source, size, rid, source_size, target)``.
+
+    The table ``(shard, slot, sid, source, block, text, parts, words)`` has one
+    row per slot, in no order; ``text`` is the block's pieces of documents, a
+    line break after the end of each, ``parts`` are their (rid, doc_id, words).
+    It is written to ``path``, else to a new folder under ``MIX_DIR`` of the
+    session, else under the shared checkpoint folder, and nothing removes it.
+    """
+    spark = docs.sparkSession
+    packed, parts = pack(docs)
+    sizes = parts.groupBy("source").agg(F.sum("words").alias("source_size"))
     targets = stored(source_targets(sizes, weights, max_epochs))
     listed = targets.orderBy("sid").limit(MAX_SOURCES + 1).collect()
     if len(listed) > MAX_SOURCES:
@@ -218,21 +311,35 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS,
         mean = r["source_size"] / n if n else 1.0  # words of a block; the last may be short
         sources.append({"blocks": n, "cap_slots": max_epochs * n, "slots": min(r["target"] / mean, max_epochs * n)})
     shards = min(max(int(np.ceil(sum(s["slots"] for s in sources) / shard_slots)), 1), MAX_SHARDS)
-    counts = draw_counts(docs.sparkSession, sources, shards, seed)
-    reads = read_slots(counts, sources, seed).groupBy("sid", "block").agg(F.count("*").alias("times"))
-    t, p = F.broadcast(targets).alias("t"), placed.alias("p")  # MAX_SOURCES rows at most
-    d = p.join(t, F.col("p.source").eqNullSafe(F.col("t.source"))).select(
-        "p.doc_id", "p.source", "p.size", "p.rid", "p.begin", "t.sid", "t.source_size", "t.target")
-    one = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("begin") / block),
-                                               F.floor((F.col("begin") + F.col("size") - 1) / block)))
-    shares = d.select("*", F.explode_outer(one).alias("block")).withColumn("words", F.least(
-        F.col("begin") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("begin"), F.col("block") * block))
+    slots = read_slots(draw_counts(spark, sources, shards, seed), sources, seed)
+    names = F.broadcast(targets.select(F.col("sid").cast("bigint").alias("sid"), "source"))  # MAX_SOURCES rows at most
     # what a row of draws stands for is no part of an estimate: unhinted, all blocks would be broadcast
-    j = shares.join(reads.hint("merge"), ["sid", "block"], "left")
-    return j.groupBy("rid", "doc_id", "source", "size", "source_size", "target").agg(
-        F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).cast("bigint").alias("taken")) \
-        .select("doc_id", "source", "size", "source_size", "target", "taken")
+    rows = packed_blocks(packed, parts, targets, block).join(slots.hint("merge"), ["sid", "block"]).join(names, "sid").select(
+        "shard", "slot", "sid", "source", "block", F.array_join("runs.text", "").alias("text"),
+        F.flatten("runs.parts").alias("parts")).withColumn(
+        "words", F.aggregate("parts", F.lit(0).cast("bigint"), lambda a, p: a + p["words"]))
+    path = path or f"{spark.conf.get(MIX_DIR, None) or ensure_checkpoint_dir(spark)}/mix-{uuid.uuid4()}"
+    rows.write.option("compression", "zstd").parquet(path)
+    d, t = _document_rows(packed).alias("d"), F.broadcast(targets).alias("t")
+    documents = d.join(t, F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.*", "t.source_size", "t.target")
+    return spark.read.schema(rows.schema).parquet(path), documents
+
+
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS, block: int = BLOCK,
+        shard_slots: int = SHARD_SLOTS, seed: int = SEED, path: str | None = None) -> DataFrame:
+    """``(doc_id, source, size, source_size, target, taken, mix_digest)``: what the written mix holds of each document.
+
+    ``taken`` counts its words in the mixed rows; ``mix_digest`` sums a hash of
+    (shard, slot, text) over the rows that have some of it.
+    """
+    mixed, documents = write_mix(docs, path, weights, max_epochs, block, shard_slots, seed)
+    row = F.pmod(F.xxhash64("shard", "slot", "text"), F.lit(1 << 31)).alias("row")
+    read = mixed.select(row, F.explode("parts").alias("p")).groupBy(F.col("p.rid").alias("rid")).agg(
+        F.sum("p.words").alias("taken"), F.sum("row").alias("mix_digest"))
+    return documents.join(read.hint("merge"), "rid", "left").select(
+        "doc_id", "source", "size", "source_size", "target",
+        *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("taken", "mix_digest")])
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "mix_digest")
