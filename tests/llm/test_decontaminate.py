@@ -61,6 +61,32 @@ def test_removal_leaves_no_window_and_clean_texts_alone(spark, make_docs, words)
     assert None not in left or items[2] not in long  # a document that is all benchmark goes
 
 
+def test_removal_by_blocks_is_that_of_the_whole_benchmark(spark, make_docs, words):
+    docs, items = fixture(words)
+    v = words[100:140]
+    items += [(50, " ".join(v[:10])), (51, " ".join(v[5:15])), (52, " ".join(v[20:30]))]
+    docs += [(600, " ".join(["own", *v[:15], "text"])),  # windows of two items overlap
+             (601, " ".join([*v[20:25], *v[:10], *v[25:30]]))]  # what a cut joins was never there
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    good = [(i, t) for i, t in items if i is not None and t]
+    want = []
+    for d, t in docs:
+        w = alnum_words(t)
+        hit = set()
+        for _, x in good:
+            iw = alnum_words(x)
+            n = min(10, len(iw))
+            wins = {tuple(iw[i:i + n]) for i in range(len(iw) - n + 1)}
+            hit |= {p for i in range(len(w) - n + 1) if tuple(w[i:i + n]) in wins for p in range(i, i + n)}
+        if not w or len(hit) < len(w):
+            want.append((d, [x for i, x in enumerate(w) if i not in hit]))
+    for block in (dc.BLOCK_WORDS, 60, 1):
+        df = make_docs(docs)
+        out = dc.remove_benchmark(df, bench, block_words=block)
+        assert out.columns == df.columns
+        assert sorted(((r.doc_id, alnum_words(r.text)) for r in out.collect()), key=repr) == sorted(want, key=repr), block
+
+
 def test_no_benchmark_and_no_documents(spark, make_docs):
     none = spark.createDataFrame([], "item_id bigint, text string")
     got = dc.contamination_report(make_docs([(1, "a b c")]), none).collect()

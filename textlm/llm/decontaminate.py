@@ -286,30 +286,60 @@ def remove_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text",
 
     A text is cut from the first to the last character of a span's words;
     texts without a hit stay as they are, and a document of which no word is
-    left goes.  Each block of windows is one pass over what the last left.
+    left goes.  Each block of windows is one pass over the whole texts; the
+    spans of all are merged and cut after the last.
     """
-    out = docs
-    for block in _blocks(benchmark, item_id, item_text, block_words):
-        out = _cut(out, block, text, window)
-    return out
+    blocks = _blocks(benchmark, item_id, item_text, block_words)
+    block = next(blocks, None)
+    if block is None:
+        return docs
+    out, held = docs, fresh(docs, "spans")[0]
+    while (after := next(blocks, None)) is not None:
+        out, block = _mark(out, block, text, window, held), after
+    return _cut(out, block, text, window, held)
+
+
+def _found(part: pa.RecordBatch, words: list, windows: _Windows, held: str) -> list[list[tuple[int, int]]]:
+    """Spans of one block in each text, merged with those that earlier blocks left in column ``held``, if it is there."""
+    spans = [s for _, s in windows.scan(words)]
+    if held not in part.schema.names:
+        return spans
+    return [merge_spans([*s, *((x["first"], x["last"]) for x in h)])
+            for s, h in zip(spans, each(part.column(held)), strict=True)]
+
+
+def _mark(docs: DataFrame, block: list, text: str, window: int, held: str) -> DataFrame:
+    """``docs`` with the spans of this and earlier blocks in column ``held``."""
+    sent = docs.sparkSession.sparkContext.broadcast(block)
+    kept = [c for c in docs.columns if c != held]
+    span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = _Windows(sent.value, window)
+        for part, _, words in _shards(batches, text):
+            spans = [[{"first": a, "last": b} for a, b in s] for s in _found(part, words, windows, held)]
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(spans, span)], names=[*kept, held])
 
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != held)
+    return docs.mapInArrow(run, f"{schema}, `{held}` array<struct<first:int,last:int>>")
 
-def _cut(docs: DataFrame, block: list, text: str, window: int) -> DataFrame:
+
+def _cut(docs: DataFrame, block: list, text: str, window: int, held: str) -> DataFrame:
+    """``docs`` without column ``held``, its spans and those of the last block cut from the texts."""
     sent = docs.sparkSession.sparkContext.broadcast(block)
     (gone,) = fresh(docs, "gone")
-    at = docs.columns.index(text)
+    kept = [c for c in docs.columns if c != held]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = _Windows(sent.value, window)
         for part, texts, words in _shards(batches, text):
-            found = windows.scan(words)
-            new = [cut_text(t, s) if s else t for t, (_, s) in zip(texts, found, strict=True)]
-            empty = [bool(s) and sum(b - a for a, b in s) == len(w) for w, (_, s) in zip(words, found, strict=True)]
-            arrays = list(part.columns)
-            arrays[at] = pa.array(new, part.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(empty)], names=[*part.schema.names, gone])
+            found = _found(part, words, windows, held)
+            new = [cut_text(t, s) if s else t for t, s in zip(texts, found, strict=True)]
+            empty = [bool(s) and sum(b - a for a, b in s) == len(w) for w, s in zip(words, found, strict=True)]
+            arrays = [pa.array(new, part.column(c).type) if c == text else part.column(c) for c in kept]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(empty)], names=[*kept, gone])
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + f", `{gone}` boolean"
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != held) + f", `{gone}` boolean"
     return docs.mapInArrow(run, schema).where(~F.col(gone)).drop(gone)
 
 
