@@ -8,9 +8,11 @@ texts without blanks are cut too; a stretch without such a place is cut every
 after an insertion the chunks fall into step again.
 
 Chunks are deduplicated by digest: the documents with the smallest doc_id keep
-a chunk, all others repeat it, and so does a later place of it in one text.  A
-run of neighbouring repeated chunks of ``MIN_WORDS`` words or more is a
-repeated passage and is removed; shorter runs stay (chance and set phrases).
+a chunk, all others repeat it, and so does a later place of it in one text.
+Runs of neighbouring repeated chunks of ``ANCHOR_WORDS`` words or more are
+anchors: each is extended word by word, in both directions, against the text of
+the earlier holder of each of its chunks.  What then has ``MIN_WORDS`` words or
+more is a repeated passage and is removed; the rest stays (chance and set phrases).
 
 Digests are aggregated on the map side before they are shuffled, and a digest
 that a third of all documents hold is one row for each task there; the join
@@ -38,6 +40,8 @@ CHUNK_WORDS = 6
 ANY_BYTES = 1024  # a cut after any character, once in so many bytes
 MAX_CHUNK = 2048
 MIN_WORDS = 12
+ANCHOR_WORDS = 3  # a run of fewer words is not extended: single words repeat everywhere
+CONTEXT = 2 * MAX_CHUNK + WINDOW  # characters beside a run: equal texts have a common cut, so another run, within fewer
 GEAR_SEED = 20_240_601
 _BUFFER = 1 << 20  # bytes hashed at once
 _SMALLEST = -(1 << 63)
@@ -102,9 +106,9 @@ def _texts(column: pa.Array) -> Iterator[tuple[list[int], list[bytes]]]:
 
 
 def chunk_rows(docs: DataFrame) -> DataFrame:
-    """``(id, key, digest, start, chars, words, again)`` from ``(id, key, text)``: one row per chunk.
+    """``(id, key, digest, start, chars, words, first)`` from ``(id, key, text)``: one row per chunk.
 
-    ``again``: an earlier chunk of the text has the same digest.
+    ``first``: where the first chunk of the text with the same digest starts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,30 +122,105 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
                 digests = np.fromiter((digest(joined[i:j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)),
                                       np.uint64, len(a)).view(np.int64)
                 order = np.lexsort((a, digests, text))
-                again = np.zeros(len(a), bool)
-                again[order[1:]] = (digests[order[1:]] == digests[order[:-1]]) & (text[order[1:]] == text[order[:-1]])
+                new = np.ones(len(a), bool)
+                new[1:] = (digests[order[1:]] != digests[order[:-1]]) | (text[order[1:]] != text[order[:-1]])
+                first = np.empty(len(a), np.int64)
+                first[order] = begin[order][np.flatnonzero(new)][np.cumsum(new) - 1]
                 at = np.asarray(rows)[text]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[at]), pa.array(keys[at]), pa.array(digests), pa.array(begin.astype(np.int32)),
-                     pa.array(chars.astype(np.int32)), pa.array(words.astype(np.int32)), pa.array(again)],
-                    names=["id", "key", "digest", "start", "chars", "words", "again"])
+                     pa.array(chars.astype(np.int32)), pa.array(words.astype(np.int32)), pa.array(first.astype(np.int32))],
+                    names=["id", "key", "digest", "start", "chars", "words", "first"])
 
     return docs.select("id", "key", "text").mapInArrow(
-        run, "id bigint, key bigint, digest bigint, start int, chars int, words int, again boolean")
+        run, "id bigint, key bigint, digest bigint, start int, chars int, words int, first int")
 
 
-def _runs(places: Column, min_words: int) -> Column:
-    """Neighbouring places (start, chars, words) joined; those of ``min_words`` words or more."""
-    none = F.array().cast("array<struct<start:int,chars:int,words:int>>")
+def _anchors(found: DataFrame) -> DataFrame:
+    """Runs of neighbouring places of ``(id, key, places)``, a row for each way its chunks lie in an earlier text.
+
+    ``low`` and ``high`` are where the run before ends and the next starts;
+    ``delta`` is the distance from a place to the same place of text (oid, okey).
+    Without runs there is one row that names the text itself and no places.
+    """
+    names = ["id", "key", "n_repeated", "start", "end", "low", "high", "oid", "okey", "delta"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i, places in enumerate(each(batch.column(2))):
+                runs: list = []
+                for p in sorted(places, key=lambda p: p["start"]):
+                    if not runs or runs[-1][1] != p["start"]:
+                        runs.append([p["start"], p["start"], 0, set()])
+                    runs[-1][1] += p["chars"]
+                    runs[-1][2] += p["words"]
+                    runs[-1][3].add((p["oid"], p["okey"], p["delta"]))
+                lows, highs = [0, *(r[1] for r in runs[:-1])], [*(r[0] for r in runs[1:]), 2**31 - 1]
+                rows = [(ids[i], keys[i], len(places), r[0], r[1], low, high, *way)
+                        for r, low, high in zip(runs, lows, highs, strict=True)
+                        for way in (sorted(r[3]) if r[2] >= ANCHOR_WORDS or r[1] - r[0] > CONTEXT else ())]
+                rows = rows or [(ids[i], keys[i], len(places), *[None] * 4, ids[i], keys[i], None)]
+                types = [pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.int64(), pa.int64(), pa.int32()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    return found.mapInArrow(run, "id bigint, key bigint, n_repeated int, start int, end int, low int, high int, "
+                                 "oid bigint, okey bigint, delta int")
+
 
-    def joined(acc: Column, p: Column) -> Column:
-        last = F.element_at(acc, -1)
-        return F.when((F.size(acc) > 0) & (last["start"] + last["chars"] == p["start"]), F.concat(
-            F.slice(acc, 1, F.size(acc) - 1),
-            F.array(F.struct(last["start"].alias("start"), (last["chars"] + p["chars"]).alias("chars"),
-                             (last["words"] + p["words"]).alias("words"))))).otherwise(F.concat(acc, F.array(p)))
+def extended(text: str, runs: list[dict], min_words: int) -> list[dict]:
+    """Runs (start, end, low, high, left, right) extended by whole words that the earlier text beside them has, and merged.
 
-    return F.filter(F.aggregate(F.array_sort(places), none, joined), lambda s: s["words"] >= min_words)
+    ``left`` and ``right``: the earlier text beside the run, with one character more than may be taken.
+    """
+    blank, spans = " \t\n\r\x0b\x0c", []
+    for r in runs:
+        a, b, left, right = r["start"], r["end"], r["left"], r["right"]
+        most, m = min(a - r["low"], CONTEXT, len(left)), 0
+        while m < most and text[a - 1 - m] == left[-1 - m]:
+            m += 1
+        p = a - m
+        if not (p == r["low"] > 0 or (p == 0 or text[p - 1] in blank) and (m == len(left) or left[-1 - m] in blank)):
+            while p < a and text[p] not in blank:
+                p += 1
+            while p < a and text[p] in blank:
+                p += 1
+        most, m = min(r["high"] - b, CONTEXT, len(right), len(text) - b), 0
+        while m < most and text[b + m] == right[m]:
+            m += 1
+        q = b + m
+        ends = (q == len(text) or text[q] in blank) and (m == len(right) or right[m] in blank)
+        if not (q == r["high"] or ends):
+            while q > b and text[q - 1] not in blank:
+                q -= 1
+        spans.append((p, q))
+    out: list[list[int]] = []
+    for p, q in sorted(spans):
+        if out and p <= out[-1][1]:
+            out[-1][1] = max(q, out[-1][1])
+        else:
+            out.append([p, q])
+    found = []
+    for p, q in out:
+        words = len(text[p:q].encode("utf-8", "surrogatepass").split())
+        words -= p > 0 and text[p - 1] not in blank and text[p] not in blank  # a word that starts before
+        if words >= min_words:
+            found.append({"start": p, "chars": q - p, "words": words})
+    return found
+
+
+def _passages(text: Column, runs: Column, min_words: int) -> Column:
+    """The passages to remove, as (start, chars, words) in characters (null runs: null)."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("chars", pa.int32()), ("words", pa.int32())]))
+
+    def run(texts: pa.Array, held: pa.Array) -> pa.Array:
+        return pa.array([None if r is None else extended(t, r, min_words)
+                         for t, r in zip(each(texts), each(held), strict=True)], kind)
+
+    run.__annotations__ = {"texts": pa.Array, "held": pa.Array, "return": pa.Array}
+    f = F.arrow_udf(run, "array<struct<start:int,chars:int,words:int>>").asNondeterministic()  # run once, not per use
+    return f(F.when(runs.isNotNull(), text), runs)
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -149,33 +228,41 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                        F.xxhash64(F.col(text)).alias("key"), F.col(text).alias("text"))
 
 
-def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                      min_words: int = MIN_WORDS) -> DataFrame:
-    """``(id, key, n_repeated, passages)`` of documents with repeated chunks.
-
-    ``passages``: the runs to remove, as (start, chars, words) in characters.
-    """
-    chunks = chunk_rows(_keyed(docs, doc_id, text))
-    owners = chunks.groupBy("digest").agg(F.min("id").alias("owner"), F.count("*").alias("n")).where("n > 1") \
-        .select("digest", "owner")
-    repeats = chunks.join(owners, "digest").where("again OR id <> owner")
-    place = F.struct("start", "chars", "words")
+def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(id, key, n_repeated, runs)`` of documents with repeated chunks; ``runs`` as ``extended`` takes them."""
+    keyed = _keyed(docs, doc_id, text)
+    chunks = chunk_rows(keyed)
+    owners = chunks.groupBy("digest").agg(F.min(F.struct("id", "key", "start")).alias("o"), F.count("*").alias("n")) \
+        .where("n > 1").select("digest", "o")
+    other = F.col("id") != F.col("o.id")
+    way = [F.when(other, F.col(f"o.{a}")).otherwise(F.col(b)) for a, b in (("id", "id"), ("key", "key"), ("start", "first"))]
+    repeats = chunks.join(owners, "digest").where(other | (F.col("first") < F.col("start")))
+    place = F.struct("start", "chars", "words", way[0].alias("oid"), way[1].alias("okey"), (way[2] - F.col("start")).alias("delta"))
     # equal rows give equal places: the set holds each once
-    found = repeats.groupBy("id", "key").agg(F.collect_set(place).alias("places"))
-    return found.select("id", "key", F.size("places").alias("n_repeated"),
-                        _runs(F.col("places"), min_words).alias("passages"))
+    found = _anchors(repeats.groupBy("id", "key").agg(F.collect_set(place).alias("places")))
+    holders = keyed.select(F.col("id").alias("oid"), F.col("key").alias("okey"), "text")
+    a, b = F.col("start") + F.col("delta"), F.col("end") + F.col("delta")
+    begin = F.greatest(a - F.least(F.col("start") - F.col("low"), F.lit(CONTEXT)) - 1, F.lit(0))
+    run = F.when(F.col("start").isNotNull(), F.struct(
+        "start", "end", "low", "high",
+        F.substr("text", begin + 1, F.greatest(a - begin, F.lit(0))).alias("left"),
+        F.substr("text", b + 1, F.least(F.col("high") - F.col("end"), F.lit(CONTEXT)) + 1).alias("right")))
+    beside = found.join(holders, ["oid", "okey"]).select("id", "key", "n_repeated", run.alias("run"))
+    return beside.groupBy("id", "key").agg(F.max("n_repeated").alias("n_repeated"), F.collect_set("run").alias("runs"))
 
 
 def remove_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with its columns, the repeated passages cut from the texts; emptied documents go."""
-    i, k, p = fresh(docs, "id_", "key_", "passages_")
-    found = repeated_passages(docs, doc_id, text, min_words).where(F.size("passages") > 0) \
-        .select(F.col("id").alias(i), F.col("key").alias(k), F.col("passages").alias(p))
+    i, k, r, p = fresh(docs, "id_", "key_", "runs_", "passages_")
+    found = repeated_runs(docs, doc_id, text).where(F.size("runs") > 0) \
+        .select(F.col("id").alias(i), F.col("key").alias(k), F.col("runs").alias(r))
     own = docs.withColumn(i, F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_SMALLEST))) \
         .withColumn(k, F.xxhash64(F.col(text))).join(found, [i, k], "left")
-    left = F.when(F.col(p).isNull(), F.col(text)).otherwise(_cut(F.col(text), F.col(p)))
-    return own.withColumn(text, left).where(F.col(p).isNull() | (F.trim(F.col(text)) != "")).select(*docs.columns)
+    own = own.withColumn(p, _passages(F.col(text), F.col(r), min_words))
+    uncut = F.coalesce(F.size(p), F.lit(0)) <= 0
+    left = F.when(uncut, F.col(text)).otherwise(_cut(F.col(text), F.col(p)))
+    return own.withColumn(text, left).where(uncut | (F.trim(F.col(text)) != "")).select(*docs.columns)
 
 
 def _cut(text: Column, passages: Column) -> Column:
@@ -187,11 +274,11 @@ def _cut(text: Column, passages: Column) -> Column:
 
 def dedup_report(docs: DataFrame) -> DataFrame:
     """One row per document: its words, repeated chunks, and what is removed."""
-    d = _keyed(docs, "doc_id", "text").select(
-        "id", "key", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint").alias("n_words"))
-    found = repeated_passages(docs)
+    d = _keyed(docs, "doc_id", "text").withColumn(
+        "n_words", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint"))
     none = F.array().cast("array<struct<start:int,chars:int,words:int>>")
-    j = d.join(found, ["id", "key"], "left").withColumn("passages", F.coalesce("passages", none))
+    j = d.join(repeated_runs(docs), ["id", "key"], "left").withColumn(
+        "passages", _passages(F.col("text"), F.col("runs"), MIN_WORDS)).withColumn("passages", F.coalesce("passages", none))
     total = lambda f: F.aggregate("passages", F.lit(0).cast("bigint"), lambda a, s: a + s[f])
     return j.select(F.when(F.col("id") != _SMALLEST, F.col("id")).alias("doc_id"), "n_words",
                     F.coalesce("n_repeated", F.lit(0)).cast("bigint").alias("n_repeated_chunks"),
