@@ -59,6 +59,32 @@ def test_trees_learn_from_the_rules(spark):
     assert sum(r.verdict == "allow" for r in got) >= 18  # like the allowed ones but for the path
 
 
+def test_suffixes_are_counted_over_all_labelled_urls(spark, monkeypatch):
+    rnd = random.Random(5)
+    rows = [f"http://h{rnd.randint(0, 60)}.{s}/fr/{rnd.randint(1, 99)}" for s in ("net", "org", "example.com") for _ in range(300)]
+    seen, joined = {}, urls._with_suffixes
+
+    def spied(d, tables, prior):
+        seen.update({by: {r[by]: r for r in t.collect()} for by, t in tables.items()})
+        return joined(d, tables, prior)
+
+    monkeypatch.setattr(urls, "_with_suffixes", spied)
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id bigint, url string")
+    for bound in (urls.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(urls, "BROADCAST_BYTES", bound)
+        assert urls.filter_urls(pages, train_rows=60).count() == len(rows)
+        known = [(u.split("/")[2], float(".net/" in u)) for u in set(rows) if "example" not in u]
+        prior = sum(y for _, y in known) / len(known)
+        for by, n in (("tld", 1), ("dom", 2)):
+            groups = defaultdict(list)
+            for host, y in known:
+                groups[".".join(host.split(".")[-n:])].append(y)
+            assert set(seen[by]) == set(groups)
+            for k, ys in groups.items():
+                assert abs(seen[by][k][f"f_{by}_rate"] - (sum(ys) + 10 * prior) / (len(ys) + 10)) < 1e-9
+                assert abs(seen[by][k][f"f_{by}_n"] - len(ys) / len(known)) < 1e-9
+
+
 def targets(sizes):
     names = sorted(sizes, key=lambda x: (x is None, x or ""))
     weight = {n: (5, 2, 1)[i % 3] for i, n in enumerate(names)}

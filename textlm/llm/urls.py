@@ -8,8 +8,9 @@ the labelled ones; trees are fitted on a sample of them of about
 Features (all computed by DataFrame functions): lengths of url, host and path,
 depth, digit and hyphen ratios, character entropy, labels of the host,
 parameters and their length, and for the host's last label and last two labels
-the share of blocked among the sample's urls and how many they are.  The suffix
-tables have at most as many rows as the sample and are broadcast.
+the share of blocked among their labelled urls and their share of all labelled
+urls, both counted over every labelled url (equal ones once).  Suffix tables are
+joined, and broadcast only where they measure under ``BROADCAST_BYTES``.
 
 Defined cases: a null url, or one without ``://``, has empty host and path and
 no rule; with no labelled urls, or only one kind of them, the method gives that
@@ -28,6 +29,7 @@ from textlm.llm.common import ascii_lower, stored
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 TRAIN_ROWS = 20_000
+BROADCAST_BYTES = 16 << 20
 TREES, DEPTH = 20, 4
 FEATURES = ("f_len", "f_host", "f_path", "f_depth", "f_digit", "f_hyphen", "f_entropy", "f_labels", "f_params",
             "f_query", "f_tld_rate", "f_tld_n", "f_dom_rate", "f_dom_n")
@@ -72,16 +74,18 @@ def with_features(pages: DataFrame, url: str) -> DataFrame:
         "tld": F.substring_index("host", ".", -1), "dom": F.substring_index("host", ".", -2)})
 
 
-def _suffix_rates(train: DataFrame, by: str, prior: float) -> DataFrame:
-    """Share of blocked, drawn towards the prior, and logarithm of the count; a row per suffix in the sample."""
-    return train.groupBy(by).agg(
+def _suffix_rates(urls: DataFrame, by: str, prior: float, total: int) -> DataFrame:
+    """Share of blocked, drawn towards the prior, and share of all labelled urls; a row per suffix."""
+    t = stored(urls.groupBy(by).agg(
         ((F.sum("label") + 10.0 * prior) / (F.count("*") + 10.0)).alias(f"f_{by}_rate"),
-        F.log1p(F.count("*").cast("double")).alias(f"f_{by}_n"))
+        (F.count("*") / F.lit(float(total))).alias(f"f_{by}_n")))
+    size = t.agg(F.sum(F.octet_length(by) + 64)).first()[0] or 0
+    return F.broadcast(t) if size <= BROADCAST_BYTES else t
 
 
 def _with_suffixes(d: DataFrame, tables: dict[str, DataFrame], prior: float) -> DataFrame:
     for by, t in tables.items():
-        d = d.join(F.broadcast(t), by, "left").na.fill({f"f_{by}_rate": prior, f"f_{by}_n": 0.0})
+        d = d.join(t, by, "left").na.fill({f"f_{by}_rate": prior, f"f_{by}_n": 0.0})
     return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(d)
 
 
@@ -93,16 +97,18 @@ def filter_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url", ru
     d = d.withColumn("rule", rule).withColumn("said", verdict)
     labelled = d.where(F.col("rule").isNotNull()).select(
         "url", "host", "path", (F.col("said") == "block").cast("double").alias("label"))
-    n = labelled.count()
-    keep = F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < int(min(1.0, train_rows / max(n, 1)) * (1 << 30))
-    # equal urls have equal hashes: one of each is enough, and a hot url cannot fill the sample
+    # equal urls have equal parts and verdicts: one of each is enough, and a hot url weighs no more than another
+    suffixes = stored(labelled.select("url", F.substring_index("host", ".", -1).alias("tld"),
+                                      F.substring_index("host", ".", -2).alias("dom"), "label").dropDuplicates(["url"]).drop("url"))
+    known = suffixes.agg(F.count("*").alias("n"), F.avg("label").alias("p")).first()
+    prior = float(known["p"] or 0.0)
+    keep = F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < int(min(1.0, train_rows / max(known["n"], 1)) * (1 << 30))
     train = stored(with_features(labelled.where(keep).dropDuplicates(["url"]), "url")
                    .drop("path").coalesce(4))
     seen = train.agg(F.count("*").alias("n"), F.avg("label").alias("p")).first()
-    prior = float(seen["p"] or 0.0)
     scored = with_features(d, "url")
-    if seen["n"] and 0.0 < prior < 1.0:
-        tables = {by: stored(_suffix_rates(train, by, prior).coalesce(1)) for by in ("tld", "dom")}
+    if seen["n"] and 0.0 < seen["p"] < 1.0:
+        tables = {by: _suffix_rates(suffixes, by, prior, known["n"]) for by in ("tld", "dom")}
         model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, maxBins=32,
                               seed=seed).fit(_with_suffixes(train, tables, prior).select("features", "label"))
         scored = model.transform(_with_suffixes(scored, tables, prior)) \
