@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as E
 
-from conftest import SF001
+from data_dirs import SF001
 
 ROW_LEVEL = ["text_perplexity", "text_perplexity_skip", "sentence_perplexity", "scored_tokens", "trigram_probs",
              "vocab_counts", "tokens", "encoded_sentences", "encoded_chars", "context_pairs", "ppmi",
