@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -67,6 +68,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tabled(df: DataFrame) -> DataFrame:
+    """``df`` written as a compressed table in the shared checkpoint folder and read back.
+
+    Smaller than ``stored`` for texts and long tables; the files stay until that folder is emptied.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def groups(batches: Iterator, key: str) -> Iterator:
     """Pandas frames of one key each, from key-sorted pandas batches; one group is held at a time."""
     import pandas as pd

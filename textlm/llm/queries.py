@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textlm.llm import ann, chat, chunks, decontaminate, licenses, mixing, ngramjoin, tokencounts, toxicity, urls
+from textlm.llm import (
+    alignment,
+    ann,
+    chat,
+    chunks,
+    decontaminate,
+    divergence,
+    licenses,
+    mixing,
+    ngramjoin,
+    pieces,
+    tokencounts,
+    toxicity,
+    urls,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -82,3 +96,21 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.jaccard_report(read(spark, sf_dir, "documents"))
+
+
+@query
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_report(read(spark, sf_dir, "documents"))
+
+
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(read(spark, sf_dir, "documents"))
+
+
+SQL["op12_source_divergence"] = divergence.ORACLE
+
+
+@query
+def op13_sentencepiece_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_report(read(spark, sf_dir, "documents"))
