@@ -1,9 +1,8 @@
 """Divergence of sources within each language, by smoothed term shares; strings come late.
 
-1. *Counts by digest.*  Each document's sorted term digests (64 bits) become
-   one row per occurrence, marked where a document has the term first, and are
-   aggregated by (lang, source, digest) on the map side; fixed-width rows alone
-   are shuffled.
+1. *Counts by digest.*  Each task counts the terms of its documents and writes
+   them, once, as a table that is not shuffled.  What is read of it for the
+   counts are digests (64 bits): fixed-width rows alone are shuffled.
 2. *Kept digests.*  A term in at least ``MIN_DOCS`` documents of its language
    has a digest that is in as many, so a digest under that bound is dropped
    unseen.
@@ -26,17 +25,25 @@ and no term rows; repeated rows count each; other columns are not read.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textlm.llm.common import ascii_lower, let, stored
+from textlm.llm.common import each, stored, tabled
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+# the same over UTF-8 bytes: A-Z lower-cased, every byte that no term has a blank
+_TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 MIN_DOCS = 30
 TOP = 50
 SCALE = 1_000_000_000
 PRIOR = 5
 MAX_GROUPS = 100_000  # groups (lang, source) that are sent to each task
+MAX_DIGESTS = 1_000_000  # kept digests that are sent to each task to look up their strings
+HELD = 500_000  # terms that a task counts before it writes them
 _WIDE = "decimal(38,0)"
 
 
@@ -45,61 +52,87 @@ def _digest(term: Column, bits: int) -> Column:
 
 
 def group_rows(docs: DataFrame) -> DataFrame:
-    """``(lang, source, terms)``: nulls read as empty strings, terms as an array."""
-    blank = {c: F.coalesce(F.col(c), F.lit("")) for c in ("lang", "source", "text")}
-    return docs.select(blank["lang"].alias("lang"), blank["source"].alias("source"),
-                       F.regexp_extract_all(ascii_lower(blank["text"]), F.lit(TERM), F.lit(0)).alias("terms"))
-
-
-def _firsts(sorted_items: Column) -> Column:
-    """``(d, new)`` of a sorted array's items, ``new`` 1 at the first of equal ones."""
-    return let(sorted_items, lambda a: F.transform(a, lambda x, i: F.struct(
-        x.alias("d"), F.when((i == 0) | (F.get(a, i - 1) != x), 1).otherwise(0).alias("new"))))
-
-
-def digest_counts(rows: DataFrame, bits: int = 64) -> DataFrame:
+    """``(lang, source, text)``: nulls read as empty strings."""
+    return docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")])
+
+
+def task_counts(rows: DataFrame) -> DataFrame:
+    """``(lang, source, term, n, docs)``: occurrences and documents of terms, in one or a few rows a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for (lang, source), (n, docs) in held.items():
+                terms = list(n)
+                for at in range(0, len(terms), 65_536):
+                    part = terms[at:at + 65_536]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(part)), pa.array([source] * len(part)), pa.array(part, pa.binary()).cast(pa.string()),
+                         pa.array([n[t] for t in part], pa.int64()), pa.array([docs[t] for t in part], pa.int64())],
+                        names=["lang", "source", "term", "n", "docs"])
+            held.clear()
+
+        for batch in batches:
+            langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            size = sum(len(n) for n, _ in held.values())
+            for i, text in enumerate(each(batch.column(2))):
+                terms = text.encode("utf-8", "surrogatepass").translate(_TERM_BYTES).split()
+                if terms:
+                    n, docs = held.setdefault((langs[i], sources[i]), (Counter(), Counter()))
+                    size -= len(n)
+                    n.update(terms)
+                    docs.update(set(terms))
+                    size += len(n)
+                if size > HELD:
+                    yield from sent()
+                    size = 0
+        yield from sent()
+
+    return rows.select("lang", "source", "text").mapInArrow(run, "lang string, source string, term string, n bigint, docs bigint")
+
+
+def digest_counts(terms: DataFrame, bits: int = 64) -> DataFrame:
     """``(lang, source, digest, n, docs)``: occurrences and documents of each digest in each group."""
-    d = rows.select("lang", "source", F.explode(_firsts(F.sort_array(
-        F.transform("terms", lambda t: _digest(t, bits))))).alias("t"))
-    return d.groupBy("lang", "source", F.col("t.d").alias("digest")).agg(
-        F.count("*").alias("n"), F.sum("t.new").alias("docs"))
+    return terms.select("lang", "source", _digest(F.col("term"), bits).alias("digest"), "n", "docs") \
+        .groupBy("lang", "source", "digest").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
-def digest_strings(rows: DataFrame, kept: DataFrame, bits: int = 64) -> DataFrame:
+def digest_strings(terms: DataFrame, kept: DataFrame, bits: int = 64) -> DataFrame:
     """``(digest, low, high)``: the smallest and largest string of each digest in ``kept``."""
-    terms = rows.select(F.explode(F.array_distinct("terms")).alias("term")).distinct() \
-        .withColumn("digest", _digest(F.col("term"), bits))
-    return terms.join(kept, "digest", "left_semi").groupBy("digest").agg(
-        F.min("term").alias("low"), F.max("term").alias("high"))
+    t = terms.select("term", _digest(F.col("term"), bits).alias("digest"))
+    if kept.count() <= MAX_DIGESTS:
+        kept = F.broadcast(kept)
+    else:  # the join shuffles: each string once a task
+        t = t.distinct()
+    return t.join(kept, "digest", "left_semi").groupBy("digest").agg(F.min("term").alias("low"), F.max("term").alias("high"))
 
 
-def split_counts(rows: DataFrame, collided: DataFrame, bits: int = 64) -> DataFrame:
+def split_counts(terms: DataFrame, collided: DataFrame, bits: int = 64) -> DataFrame:
     """``(lang, source, digest, split, n, docs)`` of the terms whose digest collides, by their strings."""
-    t = rows.select("lang", "source", F.explode(_firsts(F.sort_array("terms"))).alias("t")) \
-        .select("lang", "source", F.col("t.d").alias("split"), F.col("t.new").alias("new")) \
-        .groupBy("lang", "source", "split").agg(F.count("*").alias("n"), F.sum("new").alias("docs")) \
-        .withColumn("digest", _digest(F.col("split"), bits))
-    return t.join(collided, "digest", "left_semi").select("lang", "source", "digest", "split", "n", "docs")
+    t = terms.withColumn("digest", _digest(F.col("term"), bits)).join(collided, "digest", "left_semi")
+    return t.groupBy("lang", "source", "digest", F.col("term").alias("split")).agg(
+        F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
-def kept_counts(rows: DataFrame, min_docs: int = MIN_DOCS, bits: int = 64) -> tuple[DataFrame, DataFrame]:
+def kept_counts(terms: DataFrame, min_docs: int = MIN_DOCS, bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """Occurrences of kept terms ``(lang, source, digest, split, n, total)`` and the strings ``(digest, low)``.
 
     ``total``: the occurrences in the whole language.
     """
-    counts = stored(digest_counts(rows, bits))
+    counts = stored(digest_counts(terms, bits))
 
     def kept(c: DataFrame, key: list[str]) -> DataFrame:
         t = c.groupBy("lang", *key).agg(F.sum("n").alias("total"), F.sum("docs").alias("all_docs"))
         return t.where(F.col("all_docs") >= min_docs).drop("all_docs")
 
     held = stored(kept(counts, ["digest"]))
-    strings = stored(digest_strings(rows, held.select("digest").distinct(), bits))
+    strings = stored(digest_strings(terms, stored(held.select("digest").distinct()), bits))
     collided = strings.where("low <> high").select("digest")
     whole = counts.join(held, ["lang", "digest"]).withColumn("split", F.lit(None).cast("string"))
     names = ["lang", "source", "digest", "split", "n", "total"]
     if not collided.isEmpty():
-        parts = stored(split_counts(rows, collided, bits))
+        parts = stored(split_counts(terms, collided, bits))
         held_parts = kept(parts, ["digest", "split"])
         whole = whole.join(collided, "digest", "left_anti").select(*names).union(
             parts.join(held_parts, ["lang", "digest", "split"]).select(*names))
@@ -131,7 +164,7 @@ def source_divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP,
     ``bits``: the width of a digest (fewer make collisions likelier, never other results).
     """
     rows = group_rows(docs)
-    counts, strings = kept_counts(rows, min_docs, bits)
+    counts, strings = kept_counts(tabled(task_counts(rows)), min_docs, bits)
     groups = stored(_groups(rows, counts))
     few = groups.count() <= MAX_GROUPS
     small = F.broadcast if few else (lambda d: d)
