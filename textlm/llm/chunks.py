@@ -10,21 +10,27 @@ after an insertion the chunks fall into step again.
 Chunks are deduplicated by digest: the documents with the smallest doc_id keep
 a chunk, all others repeat it, and so does a later place of it in one text.
 Runs of neighbouring repeated chunks of ``ANCHOR_WORDS`` words or more are
-anchors: each is extended word by word, in both directions, against the text of
-the earlier holder of each of its chunks.  What then has ``MIN_WORDS`` words or
-more is a repeated passage and is removed; the rest stays (chance and set phrases).
+anchors: each is extended word by word, in both directions, by the hashes of
+the ``BESIDE`` words beside the same chunks of each earlier holder.  What then
+has ``MIN_WORDS`` words or more (or ``MIN_CHARS`` characters) is a repeated
+passage and is removed; the rest stays (chance and set phrases).
 
 Digests are aggregated on the map side before they are shuffled, and a digest
-that a third of all documents hold is one row for each task there; the join
-back to the chunks can be split by adaptive execution.
+that a third of all documents hold is one row for each task there.  A bit map of
+fixed size then leaves most unshared chunks out of the join back, which adaptive
+execution can split.  What is asked of an earlier text is asked once, however
+many texts repeat it, so a text is no hot key; only texts that are asked, or
+that hold runs, are shuffled, again by bit maps of fixed size.
 
 Defined cases: null and empty texts have no chunks; a null doc_id counts as
-the smallest; rows with one doc_id own chunks together and do not take them
-from each other; equal rows get equal results; other columns are kept.
+the smallest; rows with one doc_id own chunks together (which of their texts
+is asked is not said) and do not take them from each other; equal rows get equal results; other columns are kept.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,15 +39,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textlm.llm.common import each, fresh
+from textlm.llm.common import Marks, each, fresh, tabled
 
 WINDOW = 32  # bytes under the hash (a power of two)
 CHUNK_WORDS = 6
 ANY_BYTES = 1024  # a cut after any character, once in so many bytes
 MAX_CHUNK = 2048
 MIN_WORDS = 12
+MIN_CHARS = 20 * MIN_WORDS  # a passage of so many characters counts whatever its words (texts without blanks)
 ANCHOR_WORDS = 3  # a run of fewer words is not extended: single words repeat everywhere
-CONTEXT = 2 * MAX_CHUNK + WINDOW  # characters beside a run: equal texts have a common cut, so another run, within fewer
+ANCHOR_CHARS = 2 * MAX_CHUNK
+BESIDE = 64  # words beside a run that are compared; a chunk is seldom longer
+BESIDE_CHARS = 4096
+DIGEST_BITS = 26  # bits that mark shared digests (8 MB), and texts that a join needs (1 MB)
+TEXT_BITS = 23
+BLANKS = " \t\n\r\x0b\x0c"
+_WORD = re.compile(f"[^{BLANKS}]+")
 GEAR_SEED = 20_240_601
 _BUFFER = 1 << 20  # bytes hashed at once
 _SMALLEST = -(1 << 63)
@@ -105,96 +118,180 @@ def _texts(column: pa.Array) -> Iterator[tuple[list[int], list[bytes]]]:
         yield rows, held
 
 
-def chunk_rows(docs: DataFrame) -> DataFrame:
-    """``(id, key, digest, start, chars, words, first)`` from ``(id, key, text)``: one row per chunk.
+def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of a batch ``(id, key, text)``, a buffer of texts at a time: each chunk's id, key, digest, start, characters,
+    words, and where the first chunk of the text with its digest starts."""
+    gear, digest = gear_table(), xxhash.xxh3_64_intdigest
+    ids, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+    for rows, texts in _texts(batch.column(2)):
+        joined = b"".join(texts)
+        starts = np.cumsum([0, *map(len, texts[:-1])])
+        text, a, b, begin, chars, words = chunk_buffer(np.frombuffer(joined, np.uint8), starts, gear)
+        digests = np.fromiter((digest(joined[i:j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)),
+                              np.uint64, len(a)).view(np.int64)
+        order = np.lexsort((a, digests, text))
+        new = np.ones(len(a), bool)
+        new[1:] = (digests[order[1:]] != digests[order[:-1]]) | (text[order[1:]] != text[order[:-1]])
+        first = np.empty(len(a), np.int64)
+        first[order] = begin[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+        at = np.asarray(rows)[text]
+        yield ids[at], keys[at], digests, begin, chars, words, first
+
+
+def shared_digests(keyed: DataFrame) -> DataFrame:
+    """``(digest, oid, okey)`` of the digests that texts of more than one id have: their smallest id, and a text of it."""
 
-    ``first``: where the first chunk of the text with the same digest starts.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, keys, digests, begin, _, _, first in _chunks(batch):
+                once = begin == first
+                yield pa.RecordBatch.from_arrays([pa.array(x[once]) for x in (digests, ids, keys)], names=["digest", "id", "key"])
+
+    return keyed.mapInArrow(run, "digest bigint, id bigint, key bigint").groupBy("digest").agg(
+        F.min("id").alias("oid"), F.max("id").alias("most"), F.min_by("key", "id").alias("okey")) \
+        .where("oid < most").drop("most")
+
+
+def repeated_places(keyed: DataFrame, shared: DataFrame) -> DataFrame:
+    """``(id, key, start, chars, words, digest, oid, okey)``: chunks that text (oid, okey) holds earlier."""
+    marks = Marks(shared.select("digest"), DIGEST_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gear, digest = gear_table(), xxhash.xxh3_64_intdigest
         for batch in batches:
-            ids, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            for rows, texts in _texts(batch.column(2)):
-                joined = b"".join(texts)
-                starts = np.cumsum([0, *map(len, texts[:-1])])
-                text, a, b, begin, chars, words = chunk_buffer(np.frombuffer(joined, np.uint8), starts, gear)
-                digests = np.fromiter((digest(joined[i:j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)),
-                                      np.uint64, len(a)).view(np.int64)
-                order = np.lexsort((a, digests, text))
-                new = np.ones(len(a), bool)
-                new[1:] = (digests[order[1:]] != digests[order[:-1]]) | (text[order[1:]] != text[order[:-1]])
-                first = np.empty(len(a), np.int64)
-                first[order] = begin[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-                at = np.asarray(rows)[text]
+            for ids, keys, digests, begin, chars, words, first in _chunks(batch):
+                again = first < begin
+                some = marks.has(digests) | again
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[at]), pa.array(keys[at]), pa.array(digests), pa.array(begin.astype(np.int32)),
-                     pa.array(chars.astype(np.int32)), pa.array(words.astype(np.int32)), pa.array(first.astype(np.int32))],
-                    names=["id", "key", "digest", "start", "chars", "words", "first"])
+                    [pa.array(x[some].astype(t)) for x, t in zip(
+                        (ids, keys, begin, chars, words, digests, again),
+                        (np.int64, np.int64, np.int32, np.int32, np.int32, np.int64, bool), strict=True)],
+                    names=["id", "key", "start", "chars", "words", "digest", "again"])
+
+    places = keyed.mapInArrow(run, "id bigint, key bigint, start int, chars int, words int, digest bigint, again boolean")
+    # both kinds from one join, so that the chunks are made once: later places of a text hold themselves
+    found = places.join(shared, "digest", "left")
+    other = F.col("oid") != F.col("id")
+    return found.where(other | F.col("again")).select(
+        "id", "key", "start", "chars", "words", "digest",
+        F.when(other, F.col("oid")).otherwise(F.col("id")).alias("oid"),
+        F.when(other, F.col("okey")).otherwise(F.col("key")).alias("okey"))
+
 
-    return docs.select("id", "key", "text").mapInArrow(
-        run, "id bigint, key bigint, digest bigint, start int, chars int, words int, first int")
+_ASK = "digest bigint, oid bigint, okey bigint, side int"
+_LEFT, _RIGHT = 0, 1
 
 
-def _anchors(found: DataFrame) -> DataFrame:
-    """Runs of neighbouring places of ``(id, key, places)``, a row for each way its chunks lie in an earlier text.
+def _runs(places: DataFrame) -> DataFrame:
+    """``(id, key, n_repeated, runs, asks)``: runs of neighbouring places, and whose words beside them are asked for.
 
-    ``low`` and ``high`` are where the run before ends and the next starts;
-    ``delta`` is the distance from a place to the same place of text (oid, okey).
-    Without runs there is one row that names the text itself and no places.
+    Of each earlier text in a run, the words left of its first chunk and right of its last one.
     """
-    names = ["id", "key", "n_repeated", "start", "end", "low", "high", "oid", "okey", "delta"]
+    span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+    ask = pa.struct([("digest", pa.int64()), ("oid", pa.int64()), ("okey", pa.int64()), ("side", pa.int32()), ("at", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, places in enumerate(each(batch.column(2))):
-                runs: list = []
-                for p in sorted(places, key=lambda p: p["start"]):
-                    if not runs or runs[-1][1] != p["start"]:
-                        runs.append([p["start"], p["start"], 0, set()])
-                    runs[-1][1] += p["chars"]
-                    runs[-1][2] += p["words"]
-                    runs[-1][3].add((p["oid"], p["okey"], p["delta"]))
-                lows, highs = [0, *(r[1] for r in runs[:-1])], [*(r[0] for r in runs[1:]), 2**31 - 1]
-                rows = [(ids[i], keys[i], len(places), r[0], r[1], low, high, *way)
-                        for r, low, high in zip(runs, lows, highs, strict=True)
-                        for way in (sorted(r[3]) if r[2] >= ANCHOR_WORDS or r[1] - r[0] > CONTEXT else ())]
-                rows = rows or [(ids[i], keys[i], len(places), *[None] * 4, ids[i], keys[i], None)]
-                types = [pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.int64(), pa.int64(), pa.int32()]
+            ids, keys = batch.column(0), batch.column(1)
+            for first in range(0, len(ids), 256):
+                rows = []
+                for places in batch.column(2).slice(first, 256).to_pylist():
+                    runs, asks, held = [], [], []
+
+                    def close() -> None:
+                        size = sum(p["words"] for p in held)
+                        begin, end = (held[0]["start"], held[-1]["start"] + held[-1]["chars"]) if held else (0, 0)
+                        if held and (size >= ANCHOR_WORDS or end - begin > ANCHOR_CHARS):
+                            runs.append({"start": begin, "end": end})
+                            ends: dict = {}
+                            for p in held:
+                                ends.setdefault((p["oid"], p["okey"]), [p, p])[1] = p
+                            for (oid, okey), (a, b) in ends.items():
+                                who = {"oid": oid, "okey": okey}
+                                asks.append({"digest": a["digest"], **who, "side": _LEFT, "at": a["start"]})
+                                asks.append({"digest": b["digest"], **who, "side": _RIGHT, "at": b["start"] + b["chars"]})
+                        held.clear()
+
+                    for p in sorted(places, key=lambda p: p["start"]):
+                        if held and held[-1]["start"] + held[-1]["chars"] != p["start"]:
+                            close()
+                        held.append(p)
+                    close()
+                    rows.append((len(places), runs, asks))
+                n, runs, asks = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                    [ids.slice(first, 256), keys.slice(first, 256), pa.array(n, pa.int32()), pa.array(runs, pa.list_(span)),
+                     pa.array(asks, pa.list_(ask))], names=["id", "key", "n_repeated", "runs", "asks"])
+
+    place = F.struct("start", "chars", "words", "digest", "oid", "okey")
+    # equal rows give equal places: the set holds each once
+    return places.groupBy("id", "key").agg(F.collect_set(place).alias("places")).mapInArrow(
+        run, "id bigint, key bigint, n_repeated int, runs array<struct<start:int,end:int>>, "
+             "asks array<struct<digest:bigint,oid:bigint,okey:bigint,side:int,at:int>>")
 
-    return found.mapInArrow(run, "id bigint, key bigint, n_repeated int, start int, end int, low int, high int, "
-                                 "oid bigint, okey bigint, delta int")
 
+def words_beside(text: str, at: int, side: int) -> tuple[list[int], list[int]]:
+    """Hashes of up to ``BESIDE`` words of ``text`` left or right of ``at``, nearest first, and where each of them ends there.
 
-def extended(text: str, runs: list[dict], min_words: int) -> list[dict]:
-    """Runs (start, end, low, high, left, right) extended by whole words that the earlier text beside them has, and merged.
+    The first hash says whether a word goes on over ``at`` and has no place of its own.
+    """
+    low, high = (max(0, at - BESIDE_CHARS), at) if side == _LEFT else (at, min(len(text), at + BESIDE_CHARS))
+    found = [m.span() for m in _WORD.finditer(text, low, high)]
+    if side == _LEFT and low > 0 and found and found[0][0] == low:
+        found = found[1:]  # may be cut off
+    if side == _RIGHT and high < len(text) and found and found[-1][1] == high:
+        found = found[:-1]
+    found = found[::-1][:BESIDE] if side == _LEFT else found[:BESIDE]
+    over = 0 < at < len(text) and text[at - 1] not in BLANKS and text[at] not in BLANKS
+    hashes = [zlib.crc32(text[a:b].encode("utf-8", "surrogatepass")) - (1 << 31) for a, b in found]
+    return [int(over), *hashes], [at, *(a if side == _LEFT else b for a, b in found)]
+
+
+def _answers(keyed: DataFrame, asks: DataFrame) -> DataFrame:
+    """``(digest, oid, okey, side, words)``: the words beside the first place of ``digest`` in text (oid, okey)."""
+    asked = tabled(asks.distinct().groupBy("oid", "okey").agg(F.collect_list(F.struct("digest", "side")).alias("asked")))
+    marks = Marks(asked.select(F.xxhash64("oid", "okey").alias("h")), TEXT_BITS)
+    holders = keyed.where(marks.column(F.xxhash64("id", "key"))).select(F.col("id").alias("oid"), F.col("key").alias("okey"), "text")
 
-    ``left`` and ``right``: the earlier text beside the run, with one character more than may be taken.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # the number of a row stands for its id: each row answers for itself
+            rows = pa.array(np.arange(batch.num_rows, dtype=np.int64))
+            seen: dict = {}
+            for at, _, digests, begin, chars, _, first in _chunks(pa.RecordBatch.from_arrays(
+                    [rows, rows, batch.column(2)], names=["id", "key", "text"])):
+                once = begin == first
+                for row, digest, start, size in zip(*(x[once].tolist() for x in (at, digests, begin, chars)), strict=True):
+                    seen.setdefault(row, {})[digest] = (start, start + size)
+            out: list = []
+            texts = enumerate(zip(each(batch.column(2)), each(batch.column(3)), strict=True))
+            for row, (text, asked) in texts:
+                for a in asked:
+                    place = seen.get(row, {}).get(a["digest"])
+                    if place:
+                        out.append((a["digest"], batch.column(0)[row].as_py(), batch.column(1)[row].as_py(), a["side"],
+                                    words_beside(text, place[a["side"]], a["side"])[0]))
+            if out:
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)],
+                                                 names=["digest", "oid", "okey", "side", "words"])
+
+    found = holders.join(asked, ["oid", "okey"]).select("oid", "okey", "text", "asked")
+    return found.mapInArrow(run, f"{_ASK}, words array<int>").distinct()
+
+
+def extended(text: str, runs: list[dict], ways: list[dict], min_words: int) -> list[dict]:
+    """Runs (start, end) extended by whole words that an earlier text has, too, and merged.
+
+    ``ways``: places (at, side) and the earlier text's words beside them, as ``words_beside`` gives them.
     """
-    blank, spans = " \t\n\r\x0b\x0c", []
-    for r in runs:
-        a, b, left, right = r["start"], r["end"], r["left"], r["right"]
-        most, m = min(a - r["low"], CONTEXT, len(left)), 0
-        while m < most and text[a - 1 - m] == left[-1 - m]:
-            m += 1
-        p = a - m
-        if not (p == r["low"] > 0 or (p == 0 or text[p - 1] in blank) and (m == len(left) or left[-1 - m] in blank)):
-            while p < a and text[p] not in blank:
-                p += 1
-            while p < a and text[p] in blank:
-                p += 1
-        most, m = min(r["high"] - b, CONTEXT, len(right), len(text) - b), 0
-        while m < most and text[b + m] == right[m]:
-            m += 1
-        q = b + m
-        ends = (q == len(text) or text[q] in blank) and (m == len(right) or right[m] in blank)
-        if not (q == r["high"] or ends):
-            while q > b and text[q - 1] not in blank:
-                q -= 1
-        spans.append((p, q))
+    spans = [(r["start"], r["end"]) for r in runs]
+    for w in ways:
+        mine, places = words_beside(text, w["at"], w["side"])
+        same = 0
+        while same < min(len(mine), len(w["words"])) and mine[same] == w["words"][same]:
+            same += 1
+        if same > 1:
+            spans.append((places[same - 1], w["at"]) if w["side"] == _LEFT else (w["at"], places[same - 1]))
     out: list[list[int]] = []
     for p, q in sorted(spans):
         if out and p <= out[-1][1]:
@@ -204,23 +301,26 @@ def extended(text: str, runs: list[dict], min_words: int) -> list[dict]:
     found = []
     for p, q in out:
         words = len(text[p:q].encode("utf-8", "surrogatepass").split())
-        words -= p > 0 and text[p - 1] not in blank and text[p] not in blank  # a word that starts before
-        if words >= min_words:
+        words -= p > 0 and text[p - 1] not in BLANKS and text[p] not in BLANKS  # a word that starts before
+        if words >= min_words or q - p >= MIN_CHARS:
             found.append({"start": p, "chars": q - p, "words": words})
     return found
 
 
-def _passages(text: Column, runs: Column, min_words: int) -> Column:
+_PASSAGES = "array<struct<start:int,chars:int,words:int>>"
+
+
+def _passages(text: Column, runs: Column, ways: Column, min_words: int) -> Column:
     """The passages to remove, as (start, chars, words) in characters (null runs: null)."""
     kind = pa.list_(pa.struct([("start", pa.int32()), ("chars", pa.int32()), ("words", pa.int32())]))
 
-    def run(texts: pa.Array, held: pa.Array) -> pa.Array:
-        return pa.array([None if r is None else extended(t, r, min_words)
-                         for t, r in zip(each(texts), each(held), strict=True)], kind)
+    def run(texts: pa.Array, held: pa.Array, beside: pa.Array) -> pa.Array:
+        return pa.array([None if r is None else extended(t, r, w or [], min_words)
+                         for t, r, w in zip(each(texts), each(held), each(beside), strict=True)], kind)
 
-    run.__annotations__ = {"texts": pa.Array, "held": pa.Array, "return": pa.Array}
-    f = F.arrow_udf(run, "array<struct<start:int,chars:int,words:int>>").asNondeterministic()  # run once, not per use
-    return f(F.when(runs.isNotNull(), text), runs)
+    run.__annotations__ = {"texts": pa.Array, "held": pa.Array, "beside": pa.Array, "return": pa.Array}
+    f = F.arrow_udf(run, _PASSAGES).asNondeterministic()  # run once, not per use
+    return f(F.when(runs.isNotNull(), text), runs, ways)
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -229,40 +329,30 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(id, key, n_repeated, runs)`` of documents with repeated chunks; ``runs`` as ``extended`` takes them."""
+    """``(id, key, n_repeated, runs, ways)`` of documents with repeated chunks; ``runs`` and ``ways`` as ``extended`` takes them."""
     keyed = _keyed(docs, doc_id, text)
-    chunks = chunk_rows(keyed)
-    owners = chunks.groupBy("digest").agg(F.min(F.struct("id", "key", "start")).alias("o"), F.count("*").alias("n")) \
-        .where("n > 1").select("digest", "o")
-    other = F.col("id") != F.col("o.id")
-    way = [F.when(other, F.col(f"o.{a}")).otherwise(F.col(b)) for a, b in (("id", "id"), ("key", "key"), ("start", "first"))]
-    repeats = chunks.join(owners, "digest").where(other | (F.col("first") < F.col("start")))
-    place = F.struct("start", "chars", "words", way[0].alias("oid"), way[1].alias("okey"), (way[2] - F.col("start")).alias("delta"))
-    # equal rows give equal places: the set holds each once
-    found = _anchors(repeats.groupBy("id", "key").agg(F.collect_set(place).alias("places")))
-    holders = keyed.select(F.col("id").alias("oid"), F.col("key").alias("okey"), "text")
-    a, b = F.col("start") + F.col("delta"), F.col("end") + F.col("delta")
-    begin = F.greatest(a - F.least(F.col("start") - F.col("low"), F.lit(CONTEXT)) - 1, F.lit(0))
-    run = F.when(F.col("start").isNotNull(), F.struct(
-        "start", "end", "low", "high",
-        F.substr("text", begin + 1, F.greatest(a - begin, F.lit(0))).alias("left"),
-        F.substr("text", b + 1, F.least(F.col("high") - F.col("end"), F.lit(CONTEXT)) + 1).alias("right")))
-    beside = found.join(holders, ["oid", "okey"]).select("id", "key", "n_repeated", run.alias("run"))
-    return beside.groupBy("id", "key").agg(F.max("n_repeated").alias("n_repeated"), F.collect_set("run").alias("runs"))
+    found = tabled(_runs(repeated_places(keyed, tabled(shared_digests(keyed)))))
+    asks = found.select("id", "key", F.explode("asks").alias("a")).select("id", "key", "a.*")
+    names = ["digest", "oid", "okey", "side"]
+    answers = _answers(keyed, asks.select(*names))
+    ways = asks.join(answers, names).groupBy("id", "key").agg(F.collect_set(F.struct("at", "side", "words")).alias("ways"))
+    return tabled(found.drop("asks").join(ways, ["id", "key"], "left"))
 
 
 def remove_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with its columns, the repeated passages cut from the texts; emptied documents go."""
-    i, k, r, p = fresh(docs, "id_", "key_", "runs_", "passages_")
-    found = repeated_runs(docs, doc_id, text).where(F.size("runs") > 0) \
-        .select(F.col("id").alias(i), F.col("key").alias(k), F.col("runs").alias(r))
-    own = docs.withColumn(i, F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_SMALLEST))) \
-        .withColumn(k, F.xxhash64(F.col(text))).join(found, [i, k], "left")
-    own = own.withColumn(p, _passages(F.col(text), F.col(r), min_words))
+    i, k, r, w, p = fresh(docs, "id_", "key_", "runs_", "ways_", "passages_")
+    found = repeated_runs(docs, doc_id, text).where(F.size("runs") > 0)
+    marks = Marks(found.select(F.xxhash64("id", "key").alias("h")), TEXT_BITS)
+    named = found.select(*[F.col(a).alias(b) for a, b in (("id", i), ("key", k), ("runs", r), ("ways", w))])
+    keyed = docs.withColumn(i, F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_SMALLEST))).withColumn(k, F.xxhash64(F.col(text)))
+    marked = marks.column(F.xxhash64(i, k))
+    own = keyed.where(marked).join(named, [i, k], "left").withColumn(p, _passages(F.col(text), F.col(r), F.col(w), min_words))
     uncut = F.coalesce(F.size(p), F.lit(0)) <= 0
     left = F.when(uncut, F.col(text)).otherwise(_cut(F.col(text), F.col(p)))
-    return own.withColumn(text, left).where(uncut | (F.trim(F.col(text)) != "")).select(*docs.columns)
+    cut = own.withColumn(text, left).where(uncut | (F.trim(F.col(text)) != ""))
+    return cut.select(*docs.columns).union(keyed.where(~marked).select(*docs.columns))  # unmarked texts have no runs and stay where they are
 
 
 def _cut(text: Column, passages: Column) -> Column:
@@ -274,14 +364,19 @@ def _cut(text: Column, passages: Column) -> Column:
 
 def dedup_report(docs: DataFrame) -> DataFrame:
     """One row per document: its words, repeated chunks, and what is removed."""
-    d = _keyed(docs, "doc_id", "text").withColumn(
-        "n_words", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint"))
-    none = F.array().cast("array<struct<start:int,chars:int,words:int>>")
-    j = d.join(repeated_runs(docs), ["id", "key"], "left").withColumn(
-        "passages", _passages(F.col("text"), F.col("runs"), MIN_WORDS)).withColumn("passages", F.coalesce("passages", none))
+    d = _keyed(docs, "doc_id", "text")
+    words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
+    found = repeated_runs(docs)
+    with_runs = found.where(F.size("runs") > 0).select("id", "key", "runs", "ways")
+    marks = Marks(with_runs.select(F.xxhash64("id", "key").alias("h")), TEXT_BITS)
+    cut = d.where(marks.column(F.xxhash64("id", "key"))).join(with_runs, ["id", "key"]).select(
+        "id", "key", _passages(F.col("text"), F.col("runs"), F.col("ways"), MIN_WORDS).alias("passages"))
     total = lambda f: F.aggregate("passages", F.lit(0).cast("bigint"), lambda a, s: a + s[f])
-    return j.select(F.when(F.col("id") != _SMALLEST, F.col("id")).alias("doc_id"), "n_words",
-                    F.coalesce("n_repeated", F.lit(0)).cast("bigint").alias("n_repeated_chunks"),
-                    F.size("passages").cast("bigint").alias("n_passages"),
-                    total("words").alias("removed_words"), total("chars").alias("removed_chars"),
-                    (total("words") > 0).alias("has_repeats"))
+    removed = cut.select("id", "key", F.size("passages").cast("bigint").alias("n_passages"),
+                         total("words").alias("removed_words"), total("chars").alias("removed_chars")).distinct()
+    zero = ["n_repeated_chunks", "n_passages", "removed_words", "removed_chars"]
+    j = d.select("id", "key", words.alias("n_words")) \
+        .join(found.select("id", "key", F.col("n_repeated").cast("bigint").alias("n_repeated_chunks")), ["id", "key"], "left") \
+        .join(removed, ["id", "key"], "left").fillna(0, zero)
+    return j.select(F.when(F.col("id") != _SMALLEST, F.col("id")).alias("doc_id"), "n_words", *zero,
+                    (F.col("n_passages") > 0).alias("has_repeats"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,6 +80,43 @@ def tabled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Marks:
+    """A bit map of hashes, of ``2 ** bits`` bits whatever the number of rows: ``column`` is true for each hash of
+    ``hashes`` and for some others (for all, once the map is full), so that rows can be left out before a join."""
+
+    def __init__(self, hashes: DataFrame, bits: int) -> None:
+        self.bits, page_bits = bits, min(bits, 16)
+
+        def fill(key: tuple, rows: pa.Table) -> pa.Table:
+            held = np.zeros(1 << page_bits, bool)
+            held[rows["at"].to_numpy()] = True
+            return pa.table({"page": pa.array([key[0].as_py()], pa.int32()), "map": pa.array([np.packbits(held).tobytes()], pa.binary())})
+
+        (name,) = hashes.columns
+        place = F.shiftrightunsigned(F.col(name), 64 - bits).cast("bigint")
+        pages = hashes.select(F.shiftright(place, page_bits).cast("int").alias("page"),
+                              place.bitwiseAND((1 << page_bits) - 1).cast("int").alias("at")).distinct() \
+            .groupBy("page").applyInArrow(fill, "page int, map binary").collect()  # 2 ** bits / 8 bytes at most
+        whole = np.zeros((1 << (bits - page_bits), 1 << max(page_bits - 3, 0)), np.uint8)
+        for row in pages:
+            whole[row["page"]] = np.frombuffer(row["map"], np.uint8)
+        self.held = hashes.sparkSession.sparkContext.broadcast(whole.reshape(-1))
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes.view(np.uint64) >> np.uint64(64 - self.bits)
+        return (self.held.value[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 > 0
+
+    def column(self, hashed: Column) -> Column:
+        held, bits = self.held, self.bits
+
+        def run(h: pa.Array) -> pa.Array:
+            at = h.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) >> np.uint64(64 - bits)
+            return pa.array((held.value[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 > 0)
+
+        run.__annotations__ = {"h": pa.Array, "return": pa.Array}
+        return F.arrow_udf(run, "boolean")(hashed)
+
+
 def groups(batches: Iterator, key: str) -> Iterator:
     """Pandas frames of one key each, from key-sorted pandas batches; one group is held at a time."""
     import pandas as pd

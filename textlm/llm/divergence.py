@@ -43,7 +43,7 @@ SCALE = 1_000_000_000
 PRIOR = 5
 MAX_GROUPS = 100_000  # groups (lang, source) that are sent to each task
 MAX_DIGESTS = 1_000_000  # kept digests that are sent to each task to look up their strings
-HELD = 500_000  # terms that a task counts before it writes them
+HELD = 1_000_000  # terms that a task counts before it writes them
 _WIDE = "decimal(38,0)"
 
 
@@ -140,10 +140,13 @@ def kept_counts(terms: DataFrame, min_docs: int = MIN_DOCS, bits: int = 64) -> t
 
 
 def _share(n: Column, total: Column, terms: Column) -> Column:
-    """``1 + floor(SCALE * (n + PRIOR) / (total + PRIOR * terms))``, exactly."""
+    """``1 + floor(SCALE * (n + PRIOR) / (total + PRIOR * terms))``, exactly: beyond 64 bits in decimals."""
+    n, total, terms = (c.cast("bigint") for c in (n, total, terms))
+    narrow = total + PRIOR * terms < F.lit(9 * SCALE)  # n is at most total
     above = F.lit(SCALE).cast(_WIDE) * (n.cast("decimal(28,0)") + PRIOR)
     below = total.cast("decimal(28,0)") + PRIOR * terms.cast("decimal(18,0)")
-    return (F.call_function("div", above.cast(_WIDE), below.cast(_WIDE)) + 1).cast("bigint")
+    wide = F.call_function("div", above.cast(_WIDE), below.cast(_WIDE))
+    return F.when(narrow, F.call_function("div", SCALE * (n + PRIOR), total + PRIOR * terms)).otherwise(wide) + 1
 
 
 def _groups(rows: DataFrame, counts: DataFrame) -> DataFrame:
