@@ -47,9 +47,9 @@ ANY_BYTES = 1024  # a cut after any character, once in so many bytes
 MAX_CHUNK = 2048
 MIN_WORDS = 12
 MIN_CHARS = 20 * MIN_WORDS  # a passage of so many characters counts whatever its words (texts without blanks)
-ANCHOR_WORDS = 3  # a run of fewer words is not extended: single words repeat everywhere
+ANCHOR_WORDS = 5  # a run of fewer words is not extended: single words repeat everywhere
 ANCHOR_CHARS = 2 * MAX_CHUNK
-BESIDE = 64  # words beside a run that are compared; a chunk is seldom longer
+BESIDE = 40  # words beside a run that are compared; a chunk is seldom longer
 BESIDE_CHARS = 4096
 DIGEST_BITS = 26  # bits that mark shared digests (8 MB), and texts that a join needs (1 MB)
 TEXT_BITS = 23
@@ -138,23 +138,20 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
         yield ids[at], keys[at], digests, begin, chars, words, first
 
 
-def shared_digests(keyed: DataFrame) -> DataFrame:
-    """``(digest, oid, okey)`` of the digests that texts of more than one id have: their smallest id, and a text of it."""
+def chunk_marks(keyed: DataFrame) -> Marks:
+    """Marks of the digests that more than one row has; the count goes by half a digest, so a few others are marked, too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, keys, digests, begin, _, _, first in _chunks(batch):
-                once = begin == first
-                yield pa.RecordBatch.from_arrays([pa.array(x[once]) for x in (digests, ids, keys)], names=["digest", "id", "key"])
+            for _, _, digests, begin, _, _, first in _chunks(batch):
+                yield pa.RecordBatch.from_arrays([pa.array((digests[begin == first] >> 32).astype(np.int32))], names=["half"])
 
-    return keyed.mapInArrow(run, "digest bigint, id bigint, key bigint").groupBy("digest").agg(
-        F.min("id").alias("oid"), F.max("id").alias("most"), F.min_by("key", "id").alias("okey")) \
-        .where("oid < most").drop("most")
+    halves = keyed.mapInArrow(run, "half int").groupBy("half").count().where("count > 1")
+    return Marks(halves.select(F.shiftleft(F.col("half").cast("bigint"), 32).alias("h")), DIGEST_BITS)
 
 
-def repeated_places(keyed: DataFrame, shared: DataFrame) -> DataFrame:
-    """``(id, key, start, chars, words, digest, oid, okey)``: chunks that text (oid, okey) holds earlier."""
-    marks = Marks(shared.select("digest"), DIGEST_BITS)
+def marked_places(keyed: DataFrame, marks: Marks) -> DataFrame:
+    """``(id, key, start, chars, words, digest, again)``: the chunks that are marked or that their text holds before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,8 +164,17 @@ def repeated_places(keyed: DataFrame, shared: DataFrame) -> DataFrame:
                         (np.int64, np.int64, np.int32, np.int32, np.int32, np.int64, bool), strict=True)],
                     names=["id", "key", "start", "chars", "words", "digest", "again"])
 
-    places = keyed.mapInArrow(run, "id bigint, key bigint, start int, chars int, words int, digest bigint, again boolean")
-    # both kinds from one join, so that the chunks are made once: later places of a text hold themselves
+    return keyed.mapInArrow(run, "id bigint, key bigint, start int, chars int, words int, digest bigint, again boolean")
+
+
+def repeated_places(keyed: DataFrame) -> DataFrame:
+    """``(id, key, start, chars, words, digest, oid, okey)``: chunks that text (oid, okey) holds earlier.
+
+    That is a text of the smallest id that holds the digest, or the text itself, where it holds it before.
+    """
+    places = tabled(marked_places(keyed, chunk_marks(keyed)))
+    shared = places.where("not again").groupBy("digest").agg(
+        F.min("id").alias("oid"), F.max("id").alias("most"), F.min_by("key", "id").alias("okey")).where("oid < most").drop("most")
     found = places.join(shared, "digest", "left")
     other = F.col("oid") != F.col("id")
     return found.where(other | F.col("again")).select(
@@ -331,7 +337,7 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(id, key, n_repeated, runs, ways)`` of documents with repeated chunks; ``runs`` and ``ways`` as ``extended`` takes them."""
     keyed = _keyed(docs, doc_id, text)
-    found = tabled(_runs(repeated_places(keyed, tabled(shared_digests(keyed)))))
+    found = tabled(_runs(repeated_places(keyed)))
     asks = found.select("id", "key", F.explode("asks").alias("a")).select("id", "key", "a.*")
     names = ["digest", "oid", "okey", "side"]
     answers = _answers(keyed, asks.select(*names))
