@@ -240,12 +240,15 @@ def words_beside(text: str, at: int, side: int) -> tuple[list[int], list[int]]:
 
     The first hash says whether a word goes on over ``at`` and has no place of its own.
     """
-    low, high = (max(0, at - BESIDE_CHARS), at) if side == _LEFT else (at, min(len(text), at + BESIDE_CHARS))
-    found = [m.span() for m in _WORD.finditer(text, low, high)]
-    if side == _LEFT and low > 0 and found and found[0][0] == low:
-        found = found[1:]  # may be cut off
-    if side == _RIGHT and high < len(text) and found and found[-1][1] == high:
-        found = found[:-1]
+    for reach in (BESIDE_CHARS // 8, BESIDE_CHARS):  # most often the nearer words are enough
+        low, high = (max(0, at - reach), at) if side == _LEFT else (at, min(len(text), at + reach))
+        found = [m.span() for m in _WORD.finditer(text, low, high)]
+        if side == _LEFT and low > 0 and found and found[0][0] == low:
+            found = found[1:]  # may be cut off
+        if side == _RIGHT and high < len(text) and found and found[-1][1] == high:
+            found = found[:-1]
+        if len(found) >= BESIDE or (low == 0 if side == _LEFT else high == len(text)):
+            break
     found = found[::-1][:BESIDE] if side == _LEFT else found[:BESIDE]
     over = 0 < at < len(text) and text[at - 1] not in BLANKS and text[at] not in BLANKS
     hashes = [zlib.crc32(text[a:b].encode("utf-8", "surrogatepass")) - (1 << 31) for a, b in found]
@@ -290,9 +293,12 @@ def extended(text: str, runs: list[dict], ways: list[dict], min_words: int) -> l
 
     ``ways``: places (at, side) and the earlier text's words beside them, as ``words_beside`` gives them.
     """
-    spans = [(r["start"], r["end"]) for r in runs]
+    spans, own = [(r["start"], r["end"]) for r in runs], {}
     for w in ways:
-        mine, places = words_beside(text, w["at"], w["side"])
+        at = w["at"], w["side"]
+        if at not in own:
+            own[at] = words_beside(text, *at)
+        mine, places = own[at]
         same = 0
         while same < min(len(mine), len(w["words"])) and mine[same] == w["words"][same]:
             same += 1
