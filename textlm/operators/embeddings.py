@@ -8,11 +8,9 @@
   an unseen one -- is the mean of its n-gram vectors.
 
 Windows are built with array functions inside each sentence row (no self
-join); co-occurrences are aggregated with partial aggregation.  The SVD takes
-one tree-aggregated pass for the Gram matrix of the context columns (capped
-to the most frequent contexts so it fits in memory), a local
-eigendecomposition, and an in-task projection of the rows (words, n-grams),
-which stay distributed throughout.
+join); co-occurrences are aggregated with partial aggregation.  The SVD
+(``operators/svd.py``) keeps both sides of the matrix distributed and uses
+every context.
 """
 
 from __future__ import annotations
@@ -20,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textlm.operators.rownum import global_row_number
+from textlm.operators.svd import svd
 
 
 def context_pairs(sents: DataFrame, window: int = 5) -> DataFrame:
@@ -87,74 +85,28 @@ def fit_skipgram(sents: DataFrame, dim: int = 100, window: int = 5, min_count: i
     return model.getVectors().select("word", vector_to_array("vector").alias("vec"))
 
 
-def _svd_rows(cells: DataFrame, row_col: str, dim: int, max_cols: int) -> DataFrame:
-    """Truncated SVD of a sparse (row, context, value) table: ``(row_col, vec)`` = U sqrt(S).
+def fit_ppmi_svd(sents: DataFrame, dim: int = 100, window: int = 5, min_count: int = 10) -> DataFrame:
+    """CBOW re-aimed: ``(word, vec)`` from the PPMI matrix of frequent words, all contexts of theirs (H2)."""
+    return svd(ppmi_cells(sents, window, min_count), "word", dim).rows
 
-    One pass builds the Gram matrix ``M^T M`` (contexts x contexts, bounded by
-    ``max_cols``) with a tree aggregation; its top eigenvectors V and
-    eigenvalues l = s^2 are found locally; each row's vector
-    ``M_row V l^(-1/4)`` (= U sqrt(S)) is then computed inside its task.
-    """
-    import numpy as np
-    import pandas as pd
-    from pyspark.mllib.linalg import Vectors as MV
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    from textlm.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(cells.sparkSession)
-    # several passes follow (ranking, Gram matrix, projection): cut the lineage once
-    cells = cells.checkpoint(eager=True)
-    ctx_freq = cells.groupBy("context").agg(F.count("*").alias("df"))
-    top = global_row_number(ctx_freq, [F.col("df").desc(), F.col("context").asc()], "cid").where(F.col("cid") < max_cols)
-    n_cols = max(1, min(max_cols, top.count()))
-    grouped = cells.join(top.select("context", "cid"), "context").groupBy(row_col).agg(
-        F.sort_array(F.collect_list(F.struct("cid", "value"))).alias("cells"))
-    vecs = grouped.rdd.map(lambda r: MV.sparse(n_cols, [c["cid"] for c in r["cells"]],
-                                               [float(c["value"]) for c in r["cells"]]))
-    gram = RowMatrix(vecs).computeGramianMatrix().toArray()
-    lam, vec = np.linalg.eigh(gram)
-    order = np.argsort(lam)[::-1][: max(1, min(dim, n_cols))]
-    lam, vec = np.clip(lam[order], 0.0, None), vec[:, order]
-    proj = vec * np.where(lam > 0, lam ** -0.25, 0.0)  # (n_cols, k)
-    # fix each component's sign by its largest loading so runs are comparable
-    proj = proj * np.where(proj[np.abs(proj).argmax(axis=0), range(proj.shape[1])] < 0, -1.0, 1.0)
-
-    def project(batches):
-        for pdf in batches:
-            out = []
-            for cs in pdf["cells"]:
-                idx = np.fromiter((c["cid"] for c in cs), dtype=np.int64)
-                val = np.fromiter((c["value"] for c in cs), dtype=np.float64)
-                out.append((val @ proj[idx]).tolist())
-            yield pd.DataFrame({row_col: pdf[row_col], "vec": out})
-
-    schema = f"{row_col} string, vec array<double>"
-    return grouped.mapInPandas(project, schema)
-
-
-def fit_ppmi_svd(sents: DataFrame, dim: int = 100, window: int = 5, min_count: int = 10,
-                 max_contexts: int = 2000) -> DataFrame:
-    """CBOW re-aimed: ``(word, vec)`` from the PPMI matrix of frequent words (H2)."""
+
+def ppmi_cells(sents: DataFrame, window: int = 5, min_count: int = 10) -> DataFrame:
+    """``(word, context, value)``: PPMI between the words that occur ``min_count`` times or more."""
     pairs = context_pairs(sents, window)
     freq = sents.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count("*").alias("f")).where(
         F.col("f") >= min_count).select("word")
     pairs = pairs.join(freq, "word", "left_semi").join(freq.withColumnRenamed("word", "context"), "context", "left_semi")
-    cells = ppmi(pairs).select("word", "context", F.col("ppmi").alias("value"))
-    return _svd_rows(cells, "word", dim, max_contexts)
+    return ppmi(pairs).select("word", "context", F.col("ppmi").alias("value"))
 
 
 def fit_subword(sents: DataFrame, dim: int = 100, window: int = 5, min_count: int = 10,
-                max_contexts: int = 2000, lo: int = 3, hi: int = 6) -> tuple[DataFrame, DataFrame]:
+                lo: int = 3, hi: int = 6) -> tuple[DataFrame, DataFrame]:
     """``(ngram_vectors(ngram, vec), word_vectors(word, vec))`` (H3)."""
-    pairs = context_pairs(sents, window)
+    cells = ppmi_cells(sents, window, min_count)
     freq = sents.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count("*").alias("f")).where(
         F.col("f") >= min_count).select("word")
-    pairs = pairs.join(freq, "word", "left_semi").join(freq.withColumnRenamed("word", "context"), "context", "left_semi")
-    cells = ppmi(pairs)
-    grams = char_ngrams(freq, lo, hi)
-    gcells = cells.join(grams, "word").groupBy("ngram", "context").agg(F.avg("ppmi").alias("value"))
-    gvec = _svd_rows(gcells, "ngram", dim, max_contexts)
+    gcells = cells.join(char_ngrams(freq, lo, hi), "word").groupBy("ngram", "context").agg(F.avg("value").alias("value"))
+    gvec = svd(gcells, "ngram", dim).rows
     return gvec, subword_vectors(freq, gvec, lo, hi)
 
 
