@@ -113,7 +113,11 @@ def gram_counts(sents: DataFrame, k: int = K) -> DataFrame:
 
 def fit_trigram(sents: DataFrame, k: int = K) -> TrigramModel:
     """C1 + C2 + C3 + D2 + D3 in one pass over the corpus."""
-    counts = gram_counts(sents, k)
+    return model_of(gram_counts(sents, k))
+
+
+def model_of(counts: DataFrame) -> TrigramModel:
+    """The model of ``(w1, w2, w3, c)``: words where ``w1`` is null, trigrams elsewhere."""
     vocab = counts.where(F.col("w1").isNull()).select(F.col("w3").alias("word"), F.col("c").alias("n"))
     size = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("corpus_size"))
     uni = unigram_probs(vocab, size)

@@ -14,14 +14,13 @@ from textlm.operators import evaluate as ev
 from textlm.operators import ngram, neural as nn
 from textlm.operators import perplexity as ppl
 from textlm.operators import sequences as sq
-from textlm.operators import vocab as vc
 from textlm.operators.generate import generate_argmax
 from textlm.plans.common import trigram_run
 from textlm.plans.q_eval import N_SPLITS, feature_rows
 from textlm.plans.registry import X_DIGITS, query, r
 from textlm.sources import tables
 
-N_CLASSES = 100  # softmax over the 100 most frequent words
+N_CLASSES = 100  # classes of about equal mass; every word of the vocabulary is in one
 HIDDEN = 32
 DIM = 32
 VAL_FRAC = 0.05
@@ -55,7 +54,7 @@ def _neural_inputs(spark: SparkSession, sf: str, external: bool):
     from textlm.plans.q_vectors import word_vectors
 
     train = tables.training_sentences(spark, sf)
-    windex = vc.word_index(ngram.vocab_counts(train))
+    windex = nn.word_classes(ngram.vocab_counts(train), N_CLASSES)
     if external:
         vectors = word_vectors(spark, sf).select("word", "vec")
         dim = 64
@@ -64,14 +63,15 @@ def _neural_inputs(spark: SparkSession, sf: str, external: bool):
         dim = DIM
     rows = nn.training_rows(train, windex, vectors, N_CLASSES)
     split = sq.tail_split(rows, ["doc_id", "line", "pos"], VAL_FRAC)
-    return train, windex, vectors, dim, split
+    tops = nn.class_tops(windex)
+    return train, windex, vectors, dim, split, tops
 
 
 def _train_summary(spark: SparkSession, sf: str, external: bool) -> DataFrame:
-    _, _, _, dim, split = _neural_inputs(spark, sf, external)
+    _, _, _, dim, split, tops = _neural_inputs(spark, sf, external)
     tr, va = split.where(F.col("split") == "train"), split.where(F.col("split") == "val")
-    model = nn.fit_neural(tr, 2 * dim, HIDDEN, N_CLASSES, iters=30, seed=42)
-    m = nn.validation_metrics(model, va)
+    model = nn.fit_neural(tr, 2 * dim, HIDDEN, len(tops), iters=30, seed=42)
+    m = nn.validation_metrics(model, va, tops)
     n = tr.agg(F.count("*").alias("n_train"))
     return n.crossJoin(m.select(F.col("n").alias("n_val"), r("loss", 6, "val_loss"), r("accuracy", 6, "val_accuracy")))
 
@@ -88,11 +88,11 @@ def q_neural_lm_ext(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("neural_scored_tokens")
 def q_neural_scored_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    train, windex, vectors, dim, split = _neural_inputs(spark, sf, external=False)
-    model = nn.fit_neural(split.where(F.col("split") == "train"), 2 * dim, HIDDEN, N_CLASSES, iters=30, seed=42)
+    train, windex, vectors, dim, split, tops = _neural_inputs(spark, sf, external=False)
+    model = nn.fit_neural(split.where(F.col("split") == "train"), 2 * dim, HIDDEN, len(tops), iters=30, seed=42)
     size = ngram.corpus_size(train)
     test = tables.test_sentences(spark, sf)
-    scored = nn.score_neural(test, model, windex, vectors, size, N_CLASSES, ("doc_id", "label", "line"))
+    scored = nn.score_neural(test, model, windex, vectors, size, len(tops), ("doc_id", "label", "line"))
     docs = tables.labelled_docs(spark, sf).select("doc_id", "label")
     texts = ppl.text_perplexity(docs, test.select("doc_id", "line", "tokens"), scored, ppl.SKIP)
     return texts.select("doc_id", "label", "n_tokens", "oov", r("ppl0", 4), r("ppl1", 4), r("ppl2", 6), "is_nan")
@@ -100,12 +100,27 @@ def q_neural_scored_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("neural_lm_epochs")
 def q_neural_lm_epochs(spark: SparkSession, sf: str) -> DataFrame:
-    _, _, _, dim, split = _neural_inputs(spark, sf, external=False)
+    _, _, _, dim, split, tops = _neural_inputs(spark, sf, external=False)
     tr, va = split.where(F.col("split") == "train"), split.where(F.col("split") == "val")
-    _, rows = nn.fit_with_early_stop(tr, va, 2 * dim, HIDDEN, N_CLASSES, max_epochs=6, iters_per_epoch=5)
+    _, rows = nn.fit_with_early_stop(tr, va, 2 * dim, HIDDEN, len(tops), iters_per_epoch=5, tops=tops)
     return spark.createDataFrame(rows, "epoch int, val_loss double, val_accuracy double, stopped boolean")
 
 
+@query("word_classes")
+def q_word_classes(spark: SparkSession, sf: str) -> DataFrame:
+    classes = nn.word_classes(ngram.vocab_counts(tables.training_sentences(spark, sf)), N_CLASSES)
+    return classes.select("word", F.col("n").cast("bigint").alias("n"), F.col("cls").cast("bigint").alias("cls"), r("share", 9))
+
+
+@query("neural_next_words")
+def q_neural_next_words(spark: SparkSession, sf: str) -> DataFrame:
+    """The neural model's likeliest word after each context of the test corpus."""
+    _, _, vectors, dim, split, tops = _neural_inputs(spark, sf, external=False)
+    model = nn.fit_neural(split.where(F.col("split") == "train"), 2 * dim, HIDDEN, len(tops), iters=30, seed=42)
+    contexts = ngram.kgrams(tables.test_sentences(spark, sf), keep=KEYS)
+    return nn.next_words(contexts, model, vectors, tops).select("w1", "w2", "next_word", r("p", 9))
+
+
 @query("validation_loss")
 def q_validation_loss(spark: SparkSession, sf: str) -> DataFrame:
     """Cross-entropy and accuracy of the trigram model on the validation tail (E4 arithmetic)."""

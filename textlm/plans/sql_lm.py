@@ -244,3 +244,11 @@ FROM (SELECT p.range AS pass, l.doc_id, l.line,
              md5('42:' || CAST(p.range AS VARCHAR) || ':' || CAST(l.doc_id AS VARCHAR)) AS order_key
       FROM doc_lines l CROSS JOIN range(2) p)
 """
+
+SQL["word_classes"] = with_(LINES, MODEL) + """, dealt AS (
+  SELECT word, n, floor((sum(n) OVER (ORDER BY n DESC, word ROWS UNBOUNDED PRECEDING) - n) * 100 / (SELECT sum(n) FROM vocab)) AS raw
+  FROM vocab)
+SELECT word, n::BIGINT AS n, (dense_rank() OVER (ORDER BY raw) - 1)::BIGINT AS cls,
+       round(n / sum(n) OVER (PARTITION BY raw), 9) AS share
+FROM dealt
+"""

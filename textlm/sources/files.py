@@ -1,10 +1,10 @@
 """File sources (A1-A6, A12): sentence files, labelled folder trees, TSV lists,
 vocabulary files, word2vec text vectors, shuffled shard passes.
 
-All readers declare their schema; nothing is inferred.  Line order inside a
-file is kept with ``monotonically_increasing_id`` (increasing within a file
-split, splits in file order) and made dense with range-partitioned row
-numbers when a dense index is part of the semantics.
+All readers declare their schema; nothing is inferred.  Where line order is part
+of the semantics, lines are ordered by (file path, start of the split, place in
+it), since Spark packs splits of several files by size, and numbered densely
+with range-partitioned row numbers.
 """
 
 from __future__ import annotations
@@ -18,6 +18,14 @@ from textlm.operators.rownum import global_row_number
 from textlm.sources.tables import spread
 
 
+def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(value, file, at)``: lines of the file or files under ``path``; ``at`` orders them by file and place."""
+    return spark.read.option("recursiveFileLookup", "true").text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                 F.monotonically_increasing_id().alias("row")).alias("at"))
+
+
 def read_sentences(spark: SparkSession, path: str) -> DataFrame:
     """One sentence per line, plain or ``.gz`` (A1): ``(file, line, value, tokens)``.
 
@@ -57,16 +65,15 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_bilingual(spark: SparkSession, path: str) -> DataFrame:
-    """Whitespace file of source/target words (A4): ``(idx, src, tgt)`` in file order."""
-    raw = spark.read.text(path).select(F.monotonically_increasing_id().alias("_m"), "value")
+    """Whitespace file of source/target words (A4): ``(idx, src, tgt)`` in file order; lines of fewer than two words are skipped."""
     f = F.split(F.trim(F.col("value")), r"\s+")
-    rows = raw.where(F.trim("value") != "").select("_m", f[0].alias("src"), f[1].alias("tgt"))
-    return global_row_number(rows, ["_m"], "idx").select("idx", "src", "tgt")
+    rows = ordered_lines(spark, path).where(F.size(f) >= 2).select("at", F.get(f, F.lit(0)).alias("src"), F.get(f, F.lit(1)).alias("tgt"))
+    return global_row_number(rows, ["at"], "idx").select("idx", "src", "tgt")
 
 
 def read_vocab(spark: SparkSession, path: str, validate: bool = True) -> tuple[DataFrame, DataFrame]:
     """Vocabulary file, id = line order (A5): ``(svocab(word, id), specials(bos, eos, unk))``."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("ln"), "value")
+    lines = ordered_lines(spark, path).select(F.col("at").alias("ln"), "value")
     return vocab_from_lines(lines, validate)
 
 
@@ -79,13 +86,22 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     ``sinks.write_vectors``) reads the same way.  Undecodable bytes are
     replaced by the text reader.
     """
-    raw = spark.read.option("recursiveFileLookup", "true").text(path).select(
-        "value", F.monotonically_increasing_id().alias("ln"), F.col("_metadata.file_path").alias("_f"))
-    firsts = raw.groupBy("_f").agg(F.min("ln").alias("_first"))  # one row per file
+    raw = ordered_lines(spark, path)
+    firsts = raw.groupBy("file").agg(F.min("at").alias("first"))  # one row per file
     p = F.split(F.trim(F.col("value")), r"\s+")
-    header = (F.col("ln") == F.col("_first")) & (F.size(p) == 2) & p[0].rlike(r"^\d+$") & p[1].rlike(r"^\d+$")
-    body = raw.join(firsts, "_f").where(~header & (F.trim("value") != ""))
-    return body.select(p[0].alias("word"), F.slice(p, 2, F.size(p) - 1).cast("array<float>").alias("vec"), "ln")
+    header = (F.col("at") == F.col("first")) & (F.size(p) == 2) & p[0].rlike(r"^\d+$") & F.get(p, F.lit(1)).rlike(r"^\d+$")
+    body = raw.join(firsts, "file").where(~header & (F.trim("value") != ""))
+    vectors = body.select(p[0].alias("word"), F.slice(p, 2, F.size(p) - 1).cast("array<float>").alias("vec"), "at")
+    return global_row_number(vectors, ["at"], "ln").select("word", "vec", "ln")
+
+
+def read_shards(spark: SparkSession, path: str, seed: int, passes: int, shuffle_lines: bool = False) -> DataFrame:
+    """Sentences of the shard files that ``path`` (a folder or a pattern) names, in seeded passes.
+
+    ``(file, line, value, tokens, pass, order_key)``: each pass permutes the files; sorted by ``(pass, order_key,
+    line)`` it is the order of training.  With ``shuffle_lines`` there is a ``line_key`` for the lines of a file.
+    """
+    return shuffled_passes(read_sentences(spark, path), seed, passes, key="file", shuffle_lines=shuffle_lines)
 
 
 def shuffled_passes(sents: DataFrame, seed: int, passes: int, key: str = "doc_id",
