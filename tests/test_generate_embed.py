@@ -114,3 +114,45 @@ def test_neural_fallback_rule(spark):
     assert out[2].oov == 0 and 0 < out[2].p < 1        # context (a, b), target a: known
     assert out[3].oov == 1 and out[3].p == pytest.approx(1 / 50)  # target c outside the classes
     assert out[4].oov == 1 and out[4].p == pytest.approx(1 / 50)  # context word c has no vector
+
+
+def test_every_word_has_a_class_and_probabilities_sum_to_one(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    from textlm.operators import neural as nn
+
+    counts = {"the": 40, **{f"w{i:02d}": 12 - i // 3 for i in range(30)}}
+    vocab = spark.createDataFrame(list(counts.items()), "word string, n long")
+    classes = nn.word_classes(vocab, 6)
+    rows = classes.collect()
+    assert {r.word for r in rows} == set(counts) and {r.cls for r in rows} == set(range(max(r.cls for r in rows) + 1))
+    mass = {}
+    for r in rows:
+        mass[r.cls] = mass.get(r.cls, 0) + r.share
+    assert all(abs(m - 1) < 1e-9 for m in mass.values()) and next(r.cls for r in rows if r.word == "the") == 0
+    tops = nn.class_tops(classes)
+    data = spark.createDataFrame([([float(i % 2), 1.0], float(i % len(tops))) for i in range(60)], "f array<double>, label double") \
+        .select(array_to_vector("f").alias("features"), "label")
+    model = nn.fit_neural(data, 2, 3, len(tops), iters=5)
+    vectors = spark.createDataFrame([(w, [0.1 * (i % 7)]) for i, w in enumerate(counts)], "word string, vec array<double>")
+    sents = spark.createDataFrame([(i, 0, ["the", "w03", w]) for i, w in enumerate(counts)], "doc_id long, line long, tokens array<string>")
+    size = spark.createDataFrame([(1000,)], "corpus_size long")
+    out = nn.score_neural(sents, model, classes, vectors, size, len(tops), ("doc_id", "line")).collect()
+    assert len(out) == len(counts) and abs(sum(r.p for r in out) - 1) < 1e-9 and not any(r.oov for r in out)
+    (best,) = nn.next_words(sents.limit(1).selectExpr("tokens[0] as w1", "tokens[1] as w2"), model, vectors, tops).collect()
+    top = max(out, key=lambda r: r.p)
+    assert best.p == pytest.approx(top.p) and counts[best.next_word] > 0
+
+
+def test_one_table_of_counts_for_both_directions(spark):
+    """Mirrored counts are those of the reversed sentences, markers and empty lines included."""
+    from textlm.operators import bidirectional as bi
+    from textlm.operators import ngram
+
+    lines = spark.createDataFrame([(1, 0, "a b a b c"), (1, 1, ""), (1, 2, "<S> a <S> <S> b"), (2, 0, "c")], "doc_id long, line int, value string")
+    fwd, bwd = bi.streams(lines, ("doc_id", "line"))
+    models = bi.fit(lines, ("doc_id", "line"))
+    for stream, model in ((fwd, models[0]), (bwd, models[1])):
+        want = ngram.fit_trigram(stream)
+        for a, b in ((want.tri, model.tri), (want.uni, model.uni), (want.meta, model.meta)):
+            assert sorted(map(repr, a.collect())) == sorted(map(repr, b.select(*a.columns).collect()))

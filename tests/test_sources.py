@@ -102,3 +102,46 @@ def test_neural_save_load(spark, tmp):
     b = [r.prediction for r in m2.transform(rows).collect()]
     assert a == b
     assert F is not None
+
+
+def _part(folder, name, lines):
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_text("\n".join(lines) + "\n", encoding="utf-8")
+
+
+def test_order_over_files_of_unequal_size(spark, tmp_path):
+    """Later, larger files are read first by Spark; lines are ordered by file all the same."""
+    from textlm.sources import files
+
+    v = tmp_path / "v"
+    _part(v, "part-0.txt", ["2 1", "first0 0.0", "first1 1.0"])
+    _part(v, "part-1.txt", ["500 1", *(f"later{i} {float(i)}" for i in range(500))])
+    got = [r.word for r in files.read_vectors(spark, str(v)).orderBy("ln").collect()]
+    assert got == ["first0", "first1", *(f"later{i}" for i in range(500))]
+    b = tmp_path / "b"
+    _part(b, "a.txt", ["one eins", "alone", "", "two zwei more"])
+    _part(b, "b.txt", [f"w{i} v{i}" for i in range(400)])
+    rows = files.read_bilingual(spark, str(b)).orderBy("idx").collect()
+    assert [(r.idx, r.src, r.tgt) for r in rows[:3]] == [(0, "one", "eins"), (1, "two", "zwei"), (2, "w0", "v0")]
+    assert len(rows) == 402 and rows[-1].src == "w399"
+
+
+def test_shard_passes(spark, tmp_path):
+    from textlm.sources import files
+
+    for i in range(4):
+        _part(tmp_path / "shards", f"news-{i}.txt", [f"s{i} l{k}" for k in range(30 * (4 - i))])
+    (tmp_path / "shards" / "other.md").write_text("not read\n")
+    got = files.read_shards(spark, str(tmp_path / "shards" / "news-*.txt"), seed=3, passes=3)
+    order = [(r["pass"], r.value) for r in got.orderBy("pass", "order_key", "line").collect()]
+    assert len(order) == 3 * 300 and not any("not" in v for _, v in order)
+    firsts = set()
+    for p in range(3):
+        mine = [v for q, v in order if q == p]
+        files_seen = list(dict.fromkeys(v.split()[0] for v in mine))
+        assert len(files_seen) == 4 and mine == [f"{s} l{k}" for s in files_seen for k in range(30 * (4 - int(s[1:])))]
+        firsts.add(tuple(files_seen))
+    assert len(firsts) > 1
+    again = [(r["pass"], r.value) for r in files.read_shards(spark, str(tmp_path / "shards" / "news-*.txt"), 3, 3)
+             .orderBy("pass", "order_key", "line").collect()]
+    assert again == order

@@ -28,6 +28,26 @@ def test_t_pvalues(t, dof, p):
     assert stats.t_two_sided_p(t, dof) == pytest.approx(p, rel=1e-6)
 
 
+def test_t_pvalues_as_an_expression(spark):
+    rows = [(t, n) for n in (3, 4, 12, 50, 967, 20_000) for t in (0.0, 1e-6, 0.5, -2.2, 10.5, 40.0, float("inf"))]
+    rows += [(None, 10), (1.0, 2), (float("nan"), 10)]
+    df = spark.createDataFrame(rows, "t double, n long").select("t", "n", stats.t_pvalue(F.col("t"), F.col("n")).alias("p"))
+    for r in df.collect():
+        want = stats.t_two_sided_p(r.t, r.n - 2)
+        assert r.p is None if want is None else r.p == pytest.approx(want, rel=1e-6)
+    plan = stats.with_pvalue(df.drop("p"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_sentence_layers_by_hand(spark):
+    vecs = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [3.0, 2.0])], "word string, vec array<double>")
+    sents = spark.createDataFrame([(1, 0, ["a", "zz", "b", "a"]), (1, 1, []), (2, 0, ["zz"])], "doc_id long, line int, tokens array<string>")
+    out = vx.sentence_layers(sents, vecs)
+    got = {r.pos: (r.word, r.layer0, r.layer1, r.layer2) for r in out.collect()}
+    assert got == {0: ("a", [1, 0], [1, 0], [5 / 3, 2 / 3]), 2: ("b", [3, 2], [2, 1], [2, 1]), 3: ("a", [1, 0], [5 / 3, 2 / 3], [1, 0])}
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_spearman_matches_brute_force(spark):
     rng = np.random.default_rng(1)
     x = rng.integers(0, 10, 200).astype(float)

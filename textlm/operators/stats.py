@@ -3,18 +3,16 @@
 Pearson is Spark's ``corr``.  Spearman is Pearson over average ranks; ranks
 come from range-partitioned global row numbers (no single-partition window),
 and tied values share the mean of their first and last position.  P-values
-use Student's t with n - 2 degrees of freedom, evaluated on the one-row
-aggregate with the regularised incomplete beta function.
+use Student's t with n - 2 degrees of freedom and the regularised incomplete
+beta function, whose continued fraction is a fold of fixed length.
 """
 
 from __future__ import annotations
 
 import math
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from textlm.operators.rownum import global_row_number
 
@@ -89,10 +87,50 @@ def t_two_sided_p(t: float | None, dof: float) -> float | None:
     return betainc(dof / 2.0, 0.5, dof / (dof + t * t))
 
 
-@F.pandas_udf(T.DoubleType())
-def t_pvalue(t: pd.Series, n: pd.Series) -> pd.Series:
-    """Vectorised p-value column; applied to one-row correlation results."""
-    return pd.Series([t_two_sided_p(None if pd.isna(a) else float(a), float(b) - 2.0) for a, b in zip(t, n)])
+STEPS = 500  # steps of the continued fraction; it settles after about the square root of n
+
+
+def _let(value: Column, body) -> Column:
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def log_gamma(x: Column) -> Column:
+    """ln Gamma(x) for x > 0: Stirling's series ten units further on."""
+    y = x + 10.0
+    shift = F.aggregate(F.sequence(F.lit(0), F.lit(9)), F.lit(0.0), lambda acc, i: acc + F.log(x + i))
+    series = 1.0 / (12 * y) - 1.0 / (360 * y**3) + 1.0 / (1260 * y**5) - 1.0 / (1680 * y**7)
+    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series - shift
+
+
+def _log_beta_term(a: Column, b: Column, x: Column) -> Column:
+    """ln of the leading factor of the continued fraction, and of the fraction itself, for small x."""
+    def step(acc: Column, m: Column) -> Column:
+        even = m * (b - m) * x / ((a + 2 * m - 1.0) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1.0))
+        def turned(acc: Column, term: Column) -> Column:  # one step of Lentz's method
+            return _let(1.0 + term * acc["d"], lambda d: _let(1.0 + term / acc["c"], lambda c: F.struct(
+                c.alias("c"), (1.0 / d).alias("d"), (acc["h"] * c / d).alias("h"))))
+        return _let(turned(acc, even), lambda half: turned(half, odd))
+
+    first = 1.0 / (1.0 - (a + b) * x / (a + 1.0))
+    start = F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h"))
+    h = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step, lambda acc: acc["h"])
+    return log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.log(x) + b * F.log(1.0 - x) + F.log(h) - F.log(a)
+
+
+def t_pvalue(t: Column, n: Column) -> Column:
+    """Two-sided p-value of Student's t with n - 2 degrees of freedom, as an expression (null for n < 3 or no t)."""
+    dof = n.cast("double") - 2.0
+    x = dof / (dof + t * t)
+    a, b = dof / 2.0, F.lit(0.5)
+    low = x < (a + 1.0) / (a + b + 2.0)  # else the other tail's fraction settles sooner
+    small = _let(F.struct(F.when(low, a).otherwise(b).alias("a"), F.when(low, b).otherwise(a).alias("b"),
+                          F.when(low, x).otherwise(t * t / (dof + t * t)).alias("x")),
+                 lambda s: F.exp(_log_beta_term(s["a"], s["b"], s["x"])))
+    p = _let(small, lambda v: F.when(low, v).otherwise(1.0 - v))
+    infinite = F.abs(t) == float("inf")
+    return F.when((dof > 0) & t.isNotNull() & ~F.isnan(t),
+                  F.when(infinite, F.lit(0.0)).when(t == 0, F.lit(1.0)).otherwise(p))
 
 
 def with_pvalue(corr_row: DataFrame) -> DataFrame:

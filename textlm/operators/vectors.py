@@ -272,25 +272,28 @@ def vector_dim(vectors: DataFrame, col: str = "vec") -> int:
     return int(row.d) if row else 0
 
 
-def sentence_layers(sents: DataFrame, vectors: DataFrame, dim: int,
-                    keys: tuple[str, ...] = ("doc_id", "line")) -> DataFrame:
+def sentence_layers(sents: DataFrame, vectors: DataFrame, keys: tuple[str, ...] = ("doc_id", "line")) -> DataFrame:
     """Per token of each sentence: three layers (H18, re-aimed).
 
     layer 0 = the token vector; layer 1 = running mean from the left; layer 2 =
-    running mean from the right.  Tokens without a vector are left out.  One
-    window partitioned by sentence and ordered by position computes all
-    ``2 x dim`` running averages in a single sort.
+    running mean from the right.  Tokens without a vector are left out.  A
+    sentence's vectors are gathered into one array, and a fold over it, each
+    way, makes the running sums; their width is that of the data.
     """
     toks = sents.select(*keys, F.posexplode("tokens").alias("pos", "word"))
-    j = toks.join(vectors.select("word", "vec"), "word", "inner")
-    comps = [F.col("vec")[i].alias(f"_c{i}") for i in range(dim)]
-    wide = j.select(*keys, "pos", "word", "vec", *comps)
-    base = Window.partitionBy(*keys).orderBy("pos")
-    left = base.rowsBetween(Window.unboundedPreceding, 0)
-    right = base.rowsBetween(0, Window.unboundedFollowing)
-    return wide.select(
-        *keys, "pos", "word",
-        F.col("vec").alias("layer0"),
-        F.array(*[F.avg(f"_c{i}").over(left) for i in range(dim)]).alias("layer1"),
-        F.array(*[F.avg(f"_c{i}").over(right) for i in range(dim)]).alias("layer2"),
-    )
+    j = toks.join(vectors.select("word", F.col("vec").cast("array<double>").alias("vec")), "word", "inner")
+    per = j.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "word", "vec"))).alias("ts"))
+
+    def sums(ts):
+        start = F.array(F.transform(ts[0]["vec"], lambda x: F.lit(0.0)))
+        held = F.aggregate(ts, start, lambda acc, t: F.concat(acc, F.array(
+            F.zip_with(F.element_at(acc, -1), t["vec"], lambda a, b: a + b))))
+        return F.slice(held, 2, F.size(ts))
+
+    n = F.size("ts")
+    left = F.transform(sums(F.col("ts")), lambda v, i: F.transform(v, lambda x: x / (i + 1)))
+    right = F.transform(F.reverse(sums(F.reverse("ts"))), lambda v, i: F.transform(v, lambda x: x / (n - i)))
+    layers = per.select(*keys, "ts", left.alias("l"), right.alias("r")).select(
+        *keys, F.inline(F.arrays_zip(F.col("ts"), F.col("l").alias("layer1"), F.col("r").alias("layer2"))).alias("t", "layer1", "layer2"))
+    return layers.select(*keys, F.col("t.pos").alias("pos"), F.col("t.word").alias("word"), F.col("t.vec").alias("layer0"),
+                         "layer1", "layer2")

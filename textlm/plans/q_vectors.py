@@ -123,7 +123,7 @@ def q_correlation_pvalues(spark: SparkSession, sf: str) -> DataFrame:
     p = stats.with_pvalue(stats.pearson(ps, "score", "sim")).select(F.lit("pearson").alias("test"), "n", "r", "t", "p")
     s = stats.with_pvalue(stats.spearman(ps, "score", "sim").withColumnRenamed("rho", "r")).select(
         F.lit("spearman").alias("test"), "n", "r", "t", "p")
-    return p.unionByName(s)
+    return p.unionByName(s).select("test", "n", r("r", X_DIGITS), r("t", 6), r("p", X_DIGITS), r(F.log10("p"), 5, "log10_p"))
 
 
 # ---------------------------------------------------------------- layer mixing
@@ -174,7 +174,7 @@ def q_sentence_layers(spark: SparkSession, sf: str) -> DataFrame:
     bench = tables.table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
     sents = tables.sentences(tables.lines_of(bench))
     wv = word_vectors(spark, sf)
-    out = vx.sentence_layers(sents, wv, 64)
+    out = vx.sentence_layers(sents, wv)
     return out.select(
         "doc_id", F.col("line").cast("bigint").alias("line"), F.col("pos").cast("bigint").alias("pos"), "word",
         r(F.aggregate("layer1", F.lit(0.0), lambda a, x: a + x), X_DIGITS, "l1_sum"),

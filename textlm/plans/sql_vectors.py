@@ -92,6 +92,30 @@ FROM (SELECT count(*)::BIGINT AS n, corr(rx, ry) AS r FROM (
   FROM ps))
 """
 
+# Student's t by the power series of the incomplete beta function, 3000 terms of it
+SQL["correlation_pvalues"] = with_(VEC).replace("WITH ", "WITH RECURSIVE ", 1) + f""", corrs AS (
+  SELECT 'pearson' AS test, count(*)::BIGINT AS n, corr(score, sim) AS r FROM ps
+  UNION ALL
+  SELECT 'spearman', count(*)::BIGINT, corr(rx, ry) FROM (
+    SELECT rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS rx,
+           rank() OVER (ORDER BY sim) + (count(*) OVER (PARTITION BY sim) - 1) / 2.0 AS ry
+    FROM ps)),
+ts AS (SELECT test, n, r, {_T} AS t, n - 2.0 AS dof FROM corrs),
+xs AS (SELECT *, dof / (dof + t * t) < (dof / 2 + 1.0) / (dof / 2 + 2.5) AS low FROM ts),
+args AS MATERIALIZED (
+  SELECT *, CASE WHEN low THEN dof / 2 ELSE 0.5 END AS a, CASE WHEN low THEN 0.5 ELSE dof / 2 END AS b,
+         CASE WHEN low THEN dof / (dof + t * t) ELSE t * t / (dof + t * t) END AS x FROM xs),
+series AS (
+  SELECT test, 0 AS k, 1.0::DOUBLE AS term, 1.0::DOUBLE AS total, a, b, x FROM args
+  UNION ALL
+  SELECT test, k + 1, term * (a + b + k) / (a + 1 + k) * x, total + term * (a + b + k) / (a + 1 + k) * x, a, b, x
+  FROM series WHERE k < 3000),
+beta AS (SELECT g.*, exp(lgamma(g.a + g.b) - lgamma(g.a) - lgamma(g.b) + g.a * ln(g.x) + g.b * ln(1.0 - g.x)) * s.total / g.a AS v
+         FROM args g JOIN series s ON s.test = g.test AND s.k = 3000),
+ptab AS (SELECT *, CASE WHEN low THEN v ELSE 1.0 - v END AS p FROM beta)
+SELECT test, n, round(r, 9) AS r, round(t, 6) AS t, round(p, 9) AS p, round(log10(p), 5) AS log10_p FROM ptab
+"""
+
 _W = 64 // N_LAYERS
 
 
