@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textlm.llm.common import stored
+from textlm.llm.common import stored, tabled
 from textlm.session import ensure_checkpoint_dir
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -74,7 +74,9 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, max_epochs: float
 
 
 def pack(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(doc_id, source, size, text, part)`` in packing order, and ``(source, part, words, base)``.
+    """``(doc_id, source, size, part, rid, within, text)`` and ``(source, part, words, base)``.
+
+    ``rid`` is a row's place in the packing order, ``within`` the words of its source before it in its partition.
 
     The pseudorandom order is that of a hash of (doc_id, text); rows equal in
     both are alike, and which comes first does not matter.  ``base``: words of
@@ -85,8 +87,16 @@ def pack(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                     F.monotonically_increasing_id().alias("tie"))
     n = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["source", "h", "doc_id", "size", "tie"]
-    d = stored(d.repartitionByRange(n, *order).sortWithinPartitions(*order)).drop("h", "tie")
-    d = d.withColumn("part", F.spark_partition_id())
+    d = d.repartitionByRange(n, *order).sortWithinPartitions(*order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, rid, within in _numbered(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(rid), pa.array(within), batch.column("text")],
+                                             names=["doc_id", "source", "size", "part", "rid", "within", "text"])
+
+    # written with its places, so that it may be read in any order
+    d = tabled(d.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "size", F.spark_partition_id().alias("part"), "text").mapInArrow(
+        run, "doc_id bigint, source string, size bigint, part int, rid bigint, within bigint, text string"))
     parts = d.groupBy("source", "part").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return d, stored(parts.withColumn("base", F.coalesce(F.sum("words").over(earlier), F.lit(0))))
@@ -113,17 +123,6 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatc
         row += len(sizes)
 
 
-def _document_rows(packed: DataFrame) -> DataFrame:
-    """``(doc_id, source, size, rid)``: ``rid`` is a row's place in the packing order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, rid, _ in _numbered(batches):
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(rid)], names=["doc_id", "source", "size", "rid"])
-
-    return packed.select("doc_id", "source", "size", "part").mapInArrow(
-        run, "doc_id bigint, source string, size bigint, rid bigint")
-
-
 def cut_pieces(texts: pa.Array, begin: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
     """Texts that each have words, cut where a block ends: row, place of its first word, words and first byte of each piece.
 
@@ -162,23 +161,22 @@ def packed_blocks(packed: DataFrame, parts: DataFrame, targets: DataFrame, block
     # a row per source and a row per partition at most: MAX_SOURCES bounds what is broadcast, and the order stays
     p, b = packed.alias("p"), F.broadcast(base).alias("b")
     placed = p.join(b, F.col("p.source").eqNullSafe(F.col("b.source")) & (F.col("p.part") == F.col("b.part"))) \
-        .select("p.doc_id", "p.source", "p.size", "p.part", "p.text", "b.base", "b.sid")
+        .where("p.size > 0").select("p.doc_id", "p.rid", (F.col("p.within") + F.col("b.base")).cast("bigint").alias("begin"), "p.text", "b.sid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, rid, within in _numbered(batches):
-            has = batch.column("size").to_numpy(zero_copy_only=False) > 0
-            if not has.any():
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            some = batch.filter(pa.array(has))
-            begin = within[has] + some.column("base").to_numpy(zero_copy_only=False)
-            row, place, words, edge, data = cut_pieces(some.column("text"), begin, block)
+            begin = batch.column("begin").to_numpy(zero_copy_only=False)
+            row, place, words, edge, data = cut_pieces(batch.column("text"), begin, block)
             number, at = np.divmod(place, block)
-            sid = some.column("sid").to_numpy(zero_copy_only=False).astype(np.int64)[row]
-            heads = np.flatnonzero(np.concatenate(([True], (number[1:] != number[:-1]) | (sid[1:] != sid[:-1]))))
+            sid = batch.column("sid").to_numpy(zero_copy_only=False).astype(np.int64)[row]
+            apart = (number[1:] != number[:-1]) | (sid[1:] != sid[:-1]) | (place[1:] != place[:-1] + words[:-1])
+            heads = np.flatnonzero(np.concatenate(([True], apart)))
             text = pa.LargeStringArray.from_buffers(
                 len(heads), pa.py_buffer(np.append(edge[heads], len(data)).astype(np.int64)), pa.py_buffer(data))
             pieces = pa.StructArray.from_arrays(
-                [pa.array(rid[has][row]), some.column("doc_id").take(pa.array(row)), pa.array(words.astype(np.int64))],
+                [batch.column("rid").take(pa.array(row)), batch.column("doc_id").take(pa.array(row)), pa.array(words.astype(np.int64))],
                 names=["rid", "doc_id", "words"])
             lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(row)).astype(np.int32)), pieces)
             yield pa.RecordBatch.from_arrays(
@@ -320,7 +318,7 @@ def write_mix(docs: DataFrame, path: str | None = None, weights: tuple = WEIGHTS
         "words", F.aggregate("parts", F.lit(0).cast("bigint"), lambda a, p: a + p["words"]))
     path = path or f"{spark.conf.get(MIX_DIR, None) or ensure_checkpoint_dir(spark)}/mix-{uuid.uuid4()}"
     rows.write.option("compression", "zstd").parquet(path)
-    d, t = _document_rows(packed).alias("d"), F.broadcast(targets).alias("t")
+    d, t = packed.select("doc_id", "source", "size", "rid").alias("d"), F.broadcast(targets).alias("t")
     documents = d.join(t, F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.*", "t.source_size", "t.target")
     return spark.read.schema(rows.schema).parquet(path), documents
 
