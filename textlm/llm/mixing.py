@@ -48,7 +48,6 @@ SEED = 20_240_602
 MAX_SOURCES = 100_000
 MIX_DIR = "textlm.mix.dir"  # session setting: the folder under which mixes are written
 _ROWS = 1 << 16
-_PARTS = "array<struct<rid:bigint,doc_id:bigint,words:bigint>>"
 _U = np.uint64
 
 
@@ -152,10 +151,7 @@ def cut_pieces(texts: pa.Array, begin: np.ndarray, block: int) -> tuple[np.ndarr
 
 
 def packed_blocks(packed: DataFrame, parts: DataFrame, targets: DataFrame, block: int) -> DataFrame:
-    """``(sid, block, runs)``: each block of each source, its runs of pieces in order, as (at, text, parts).
-
-    A run has the neighbouring pieces that one batch holds; most blocks are one.
-    """
+    """``(sid, block, pieces)``: each block of each source, its pieces in order, as (at, text, rid, doc_id, words)."""
     base = parts.alias("b").join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))) \
         .select("b.source", "b.part", "b.base", "t.sid")
     # a row per source and a row per partition at most: MAX_SOURCES bounds what is broadcast, and the order stays
@@ -171,20 +167,18 @@ def packed_blocks(packed: DataFrame, parts: DataFrame, targets: DataFrame, block
             row, place, words, edge, data = cut_pieces(batch.column("text"), begin, block)
             number, at = np.divmod(place, block)
             sid = batch.column("sid").to_numpy(zero_copy_only=False).astype(np.int64)[row]
-            apart = (number[1:] != number[:-1]) | (sid[1:] != sid[:-1]) | (place[1:] != place[:-1] + words[:-1])
-            heads = np.flatnonzero(np.concatenate(([True], apart)))
             text = pa.LargeStringArray.from_buffers(
-                len(heads), pa.py_buffer(np.append(edge[heads], len(data)).astype(np.int64)), pa.py_buffer(data))
-            pieces = pa.StructArray.from_arrays(
-                [batch.column("rid").take(pa.array(row)), batch.column("doc_id").take(pa.array(row)), pa.array(words.astype(np.int64))],
-                names=["rid", "doc_id", "words"])
-            lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(row)).astype(np.int32)), pieces)
+                len(row), pa.py_buffer(np.append(edge, len(data)).astype(np.int64)), pa.py_buffer(data))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(sid[heads]), pa.array(number[heads]), pa.array(at[heads]), text.cast(pa.string()), lists],
-                names=["sid", "block", "at", "text", "parts"])
+                [pa.array(sid), pa.array(number), pa.array(at), text.cast(pa.string()), batch.column("rid").take(pa.array(row)),
+                 batch.column("doc_id").take(pa.array(row)), pa.array(words.astype(np.int64))],
+                names=["sid", "block", "at", "text", "rid", "doc_id", "words"])
 
-    runs = placed.mapInArrow(run, f"sid bigint, block bigint, at bigint, text string, parts {_PARTS}")
-    return runs.groupBy("sid", "block").agg(F.array_sort(F.collect_list(F.struct("at", "text", "parts"))).alias("runs"))
+    pieces = placed.mapInArrow(run, "sid bigint, block bigint, at bigint, text string, rid bigint, doc_id bigint, words bigint")
+    # flat rows are shuffled and gathered after that: lists of one or two pieces take more room than the pieces
+    n = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pieces.repartition(n, "sid", "block").groupBy("sid", "block").agg(
+        F.array_sort(F.collect_list(F.struct("at", "text", "rid", "doc_id", "words"))).alias("pieces"))
 
 
 def _mixed(x: np.ndarray, key: int) -> np.ndarray:
@@ -313,8 +307,9 @@ def write_mix(docs: DataFrame, path: str | None = None, weights: tuple = WEIGHTS
     names = F.broadcast(targets.select(F.col("sid").cast("bigint").alias("sid"), "source"))  # MAX_SOURCES rows at most
     # what a row of draws stands for is no part of an estimate: unhinted, all blocks would be broadcast
     rows = packed_blocks(packed, parts, targets, block).join(slots.hint("merge"), ["sid", "block"]).join(names, "sid").select(
-        "shard", "slot", "sid", "source", "block", F.array_join("runs.text", "").alias("text"),
-        F.flatten("runs.parts").alias("parts")).withColumn(
+        "shard", "slot", "sid", "source", "block", F.array_join("pieces.text", "").alias("text"),
+        F.transform("pieces", lambda p: F.struct(p["rid"].alias("rid"), p["doc_id"].alias("doc_id"), p["words"].alias("words")))
+        .alias("parts")).withColumn(
         "words", F.aggregate("parts", F.lit(0).cast("bigint"), lambda a, p: a + p["words"]))
     path = path or f"{spark.conf.get(MIX_DIR, None) or ensure_checkpoint_dir(spark)}/mix-{uuid.uuid4()}"
     rows.write.option("compression", "zstd").parquet(path)
