@@ -2,14 +2,18 @@
 
 A text's words are the runs of digits, letters and non-ASCII characters after
 A-Z is lower-cased.  A rule is a hand-written regular expression over words
-joined by single blanks; the word in braces is its keyword.  The scan
+joined by single blanks; the word in braces is its keyword.  A gap is written in
+words (``(?:\\S+ ){1,40}?``), so that every rule spans a known number of words
+and no window can cut what a rule allows.  The scan
 
 1. passes over texts that hold none of the keyword stems (substring tests),
 2. finds the keywords among the words of the others,
-3. tries the rules of a keyword on the words around each place of it, after a
-   test for the rule's longest literal word (the prefilter), and
+3. tries the rules of a keyword on the words around each place of it, as many as
+   the longest of these rules can span, after a test for the rule's longest
+   literal word (the prefilter), and
 4. drops a detection that lies inside another one of the same or a higher
-   priority that is longer, or as long and earlier in (priority, order).
+   priority that is longer, or as long and earlier in (priority, order), and a mere mention
+   ("released under the X license") that a stronger detection lies inside of.
 
 Everything happens inside a document's row: no shuffle, so one source or
 license that holds a third of all rows does no harm.  Step 4 compares a
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 
 from textlm.llm.common import ascii_lower, let
 
-LEFT, RIGHT = 16, 30  # words read before and after a keyword; no rule is longer
+MENTION = 40  # priority of rules that name no license themselves
 
 # The phrases whose every place is counted (never suppressed).
 BASE_RULES = """
@@ -244,7 +248,7 @@ ntp            | 70 | {permission} to use copy modify and distribute this softwa
 bsd            | 70 | {redistribution} and use in source and binary forms with or without modification are permitted
 bsd            | 70 | {redistributions} of source code must retain the above copyright notice
 bsd            | 70 | {redistributions} in binary form must reproduce the above copyright notice
-bsd-3          | 70 | neither the name of .{1,80}?nor the names of its {contributors} may be used to endorse
+bsd-3          | 70 | neither the name of (?:\\S+ ){1,40}?nor the names of its {contributors} may be used to endorse
 bsd-4          | 70 | all {advertising} materials mentioning features or use of this software must display
 apache-2.0     | 70 | {licensed} under the apache license version 2 0 the license
 apache-2.0     | 70 | you may not use this file except in compliance with the {license}
@@ -264,7 +268,7 @@ zlib           | 70 | the origin of this software must not be {misrepresented}
 unlicense      | 70 | this is free and {unencumbered} software released into the public domain
 public-domain  | 70 | (?:released|placed|dedicated) (?:in ?to|in|to) the public {domain}
 public-domain  | 70 | (?:this work|this software|this file) is in the public {domain}
-proprietary    | 70 | {copyright} .{1,60}?all rights reserved
+proprietary    | 70 | {copyright} (?:\\S+ ){1,30}?all rights reserved
 proprietary    | 70 | all rights {reserved}
 proprietary    | 70 | {proprietary} and confidential
 proprietary    | 70 | unauthorized copying of this {file}
@@ -299,6 +303,14 @@ STEMS = ("licen", "spdx", "gpl", "bsd", "wtfpl", "permission", "copyright", "cop
          "proprietary", "file", "beer", "mozilla", "epl")
 
 
+def max_words(pattern: str) -> int:
+    """Upper bound of the words that a rule's side matches: its words, repeated groups at their highest count."""
+    plain = re.sub(r"\(\?:([^()]*)\)\{\d+,(\d+)\}\??", lambda m: m.group(1) * int(m.group(2)), pattern)
+    if re.search(r"(?<!\\)\.|\)[+*{]|\s[+*{]|\\[sWDB]|\[\^", plain):
+        raise ValueError(f"a rule's gap must be a bounded group of words: {pattern!r}")
+    return len(plain.split())
+
+
 def parse_rules(base: str = BASE_RULES, more: str = MORE_RULES) -> list[dict]:
     """Rules in order: label, priority, base flag, keyword, patterns before and after it, literal word needed."""
     rules = []
@@ -306,20 +318,20 @@ def parse_rules(base: str = BASE_RULES, more: str = MORE_RULES) -> list[dict]:
         for line in filter(None, map(str.strip, block.splitlines())):
             label, priority, text = (x.strip() for x in line.split("|", 2))
             before, keyword, after = re.fullmatch(r"(.*?)\{(\w+)\}(.*)", text).groups()
-            before, after = before.strip(), after
             sides = [x for x in (before, after) if not re.search(r"[|(?\\\[]", x)]
             literal = max((w for x in sides for w in x.split()), key=len, default="")
             rules.append({
                 "label": label, "priority": int(priority), "rank": len(rules), "base": is_base, "keyword": keyword,
                 "before": f"(?:^| )((?:{before}))$" if before else "",
-                # the blank between keyword and what follows is part of an optional group or of the pattern
-                "after": f"^((?:{after}))(?: |$)" if after else "", "needs": literal})
+                # the blank beside the keyword is part of an optional group or of the pattern, on either side
+                "after": f"^((?:{after}))(?: |$)" if after else "", "needs": literal,
+                "left": max_words(before), "right": max_words(after)})
     return rules
 
 
 RULES = parse_rules()
-_SCHEMA = ("map<string,array<struct<label:string,priority:int,rank:int,base:boolean,before:string,"
-           "after:string,needs:string>>>")
+_SCHEMA = ("map<string,struct<left:int,right:int,rules:array<struct<label:string,priority:int,rank:int,base:boolean,"
+           "before:string,after:string,needs:string>>>>")
 
 
 def _n_words(joined: Column) -> Column:
@@ -334,7 +346,7 @@ def _try_rule(r: Column, at: Column, left: Column, right: Column) -> Column:
     a = F.when(r["after"] == "", F.lit("")).otherwise(F.call_function("regexp_extract", right, r["after"], F.lit(1)))
 
     def made(ba: Column) -> Column:
-        ok = ((r["before"] == "") | (ba["b"] != "")) \
+        ok = ((r["before"] == "") | (ba["b"] != "") | F.regexp(left, r["before"])) \
             & ((r["after"] == "") | (ba["a"] != "") | F.regexp(right, r["after"]))
         return F.when(ok, F.struct(
             r["label"].alias("label"), r["priority"].alias("priority"), r["rank"].alias("rank"),
@@ -347,27 +359,37 @@ def _try_rule(r: Column, at: Column, left: Column, right: Column) -> Column:
 def _covers(o: Column, d: Column) -> Column:
     longer = (o["end"] - o["start"]) > (d["end"] - d["start"])
     first = (o["priority"] > d["priority"]) | ((o["priority"] == d["priority"]) & (o["rank"] < d["rank"]))
-    return (o["start"] <= d["start"]) & (o["end"] >= d["end"]) & (o["priority"] >= d["priority"]) & (longer | first)
+    inside = (o["start"] <= d["start"]) & (o["end"] >= d["end"]) & (o["priority"] >= d["priority"]) & (longer | first)
+    names = (d["priority"] <= MENTION) & (o["priority"] > d["priority"]) \
+        & (o["start"] >= d["start"]) & (o["end"] <= d["end"])
+    return inside | names
 
 
 def _detections(w: Column, rules: list[dict]) -> Column:
-    by_word: dict[str, list[dict]] = {}
+    by_word: dict[str, dict] = {}
     for r in rules:
-        by_word.setdefault(r["keyword"], []).append({k: v for k, v in r.items() if k != "keyword"})
+        of_word = by_word.setdefault(r["keyword"], {"left": 0, "right": 0, "rules": []})
+        of_word["left"], of_word["right"] = max(of_word["left"], r["left"]), max(of_word["right"], r["right"])
+        of_word["rules"].append({k: v for k, v in r.items() if k not in ("keyword", "left", "right")})
     table = F.from_json(F.lit(json.dumps(by_word)), _SCHEMA)
     places = F.filter(F.transform(w, lambda x, i: F.struct(i.alias("at"), x.alias("word"))),
                       lambda s: s["word"].isin(*by_word))
 
     def at_place(p: Column) -> Column:
-        left = F.array_join(F.slice(w, F.greatest(p["at"] - LEFT + 1, F.lit(1)), F.least(p["at"], F.lit(LEFT))), " ")
-        right = F.concat(F.lit(" "), F.array_join(F.slice(w, p["at"] + 2, RIGHT), " "))
-        return let(F.struct(left.alias("l"), right.alias("r")), lambda s: F.filter(F.transform(
-            F.filter(table[p["word"]], lambda r: (r["needs"] == "") | s["l"].contains(r["needs"])
-                     | s["r"].contains(r["needs"])),
-            lambda r: _try_rule(r, p["at"], s["l"], s["r"])), lambda d: d.isNotNull()))
+        def tried(k: Column) -> Column:
+            left = F.concat(F.array_join(F.slice(w, F.greatest(p["at"] - k["left"] + 1, F.lit(1)),
+                                                 F.least(p["at"], k["left"])), " "), F.lit(" "))
+            right = F.concat(F.lit(" "), F.array_join(F.slice(w, p["at"] + 2, k["right"]), " "))
+            return let(F.struct(left.alias("l"), right.alias("r")), lambda s: F.filter(F.transform(
+                F.filter(k["rules"], lambda r: (r["needs"] == "") | s["l"].contains(r["needs"])
+                         | s["r"].contains(r["needs"])),
+                lambda r: _try_rule(r, p["at"], s["l"], s["r"])), lambda d: d.isNotNull()))
+
+        return let(table[p["word"]], tried)
 
     found = F.filter(F.transform(places, at_place), lambda ds: F.size(ds) > 0)
-    reach = LEFT + RIGHT + 1  # a keyword at each word: so many places away at most starts what contains a detection
+    # a keyword at each word: so many places away at most starts what contains a detection
+    reach = max(r["left"] + 1 + r["right"] for r in rules)
 
     def unsuppressed(ds: Column, j: Column, hits: Column) -> Column:
         return let(F.flatten(F.slice(hits, F.greatest(j - reach + 1, F.lit(1)), 2 * reach + 1)),
@@ -411,7 +433,8 @@ def license_report(docs: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """DuckDB twin of ``license_report`` over the same rules."""
+    """DuckDB twin of ``license_report`` over the same rules, on twice the words that any rule can span."""
+    span = 2 * max(r["left"] + 1 + r["right"] for r in RULES)
     values = ",\n".join("('{label}',{priority},{rank},{base},'{keyword}','{before}','{after}')".format(**r) for r in RULES)
     return rf"""
 WITH rules(label, priority, rank, base, keyword, before, after) AS (VALUES {values}),
@@ -420,8 +443,8 @@ d AS (SELECT row_number() OVER () AS rid, doc_id,
          '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents),
 k AS (SELECT rid, w, unnest(w) AS word, unnest(range(len(w))) AS p FROM d),
 c AS (SELECT rid, p, label, priority, rank, base, before, after,
-        array_to_string(w[greatest(p-{LEFT - 1},1):p],' ') AS l,
-        ' ' || array_to_string(w[p+2:p+{RIGHT + 1}],' ') AS r
+        array_to_string(w[greatest(p-{span - 1},1):p],' ') || ' ' AS l,
+        ' ' || array_to_string(w[p+2:p+{span + 1}],' ') AS r
       FROM k JOIN rules ON word = keyword),
 m AS (SELECT *, CASE WHEN before='' THEN '' ELSE regexp_extract(l, before, 1) END AS mb,
         CASE WHEN after='' THEN '' ELSE regexp_extract(r, after, 1) END AS ma FROM c
@@ -430,8 +453,9 @@ h AS (SELECT rid, label, priority, rank, base,
         p - CASE WHEN trim(mb)='' THEN 0 ELSE len(string_split(trim(mb),' ')) END AS s,
         p + 1 + CASE WHEN trim(ma)='' THEN 0 ELSE len(string_split(trim(ma),' ')) END AS e FROM m),
 kept AS (SELECT * FROM h AS x WHERE base OR NOT EXISTS (SELECT 1 FROM h AS o WHERE o.rid = x.rid
-        AND o.s <= x.s AND o.e >= x.e AND o.priority >= x.priority AND (o.e-o.s > x.e-x.s OR o.priority > x.priority
-          OR (o.priority = x.priority AND o.rank < x.rank)))),
+        AND ((o.s <= x.s AND o.e >= x.e AND o.priority >= x.priority AND (o.e-o.s > x.e-x.s OR o.priority > x.priority
+          OR (o.priority = x.priority AND o.rank < x.rank)))
+          OR (x.priority <= {MENTION} AND o.priority > x.priority AND o.s >= x.s AND o.e <= x.e)))),
 g AS (SELECT rid, count(*) FILTER (base) AS n, min(s) FILTER (base) AS f, max(s) FILTER (base) AS t,
         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS bl,
         string_agg(DISTINCT label, ',' ORDER BY label) AS al, max(priority)/100.0 AS sc FROM kept GROUP BY rid)
