@@ -1,6 +1,6 @@
 """Training word vectors (H1-H4).
 
-* skip-gram: Spark ML ``Word2Vec`` (hierarchical softmax);
+* skip-gram with negative sampling: ``operators/skipgram.py``;
 * CBOW, re-aimed: context windows -> co-occurrence counts -> PPMI
   (Levy and Goldberg 2014) -> truncated SVD of the word x context matrix;
 * subword, re-aimed: each character 3..6-gram of ``<word>`` takes its word's
@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textlm.operators.skipgram import train_negative_sampling
 from textlm.operators.svd import svd
 
 
@@ -73,16 +74,16 @@ def char_ngrams(words: DataFrame, lo: int = 3, hi: int = 6, word_col: str = "wor
 
 # ---------------------------------------------------------------- trained models
 def fit_skipgram(sents: DataFrame, dim: int = 100, window: int = 5, min_count: int = 10, iters: int = 5,
-                 seed: int = 42, max_sentence_length: int = 100_000) -> DataFrame:
-    """``(word, vec array<double>)`` from Spark ML Word2Vec (H1)."""
-    from pyspark.ml.feature import Word2Vec
-    from pyspark.ml.functions import vector_to_array
-
-    w2v = Word2Vec(vectorSize=dim, windowSize=window, minCount=min_count, maxIter=iters, seed=seed,
-                   inputCol="tokens", outputCol="_v", maxSentenceLength=max_sentence_length,
-                   numPartitions=max(1, sents.sparkSession.sparkContext.defaultParallelism // 2))
-    model = w2v.fit(sents.select("tokens"))
-    return model.getVectors().select("word", vector_to_array("vector").alias("vec"))
+                 seed: int = 42, negatives: int = 5) -> DataFrame:
+    """``(word, vec array<double>)`` of the words that occur ``min_count`` times or more, by negative sampling (H1)."""
+    counts = frequent_counts(sents, min_count)
+    return train_negative_sampling(context_pairs(sents, window), counts, dim, iters, negatives, seed=seed)
+
+
+def frequent_counts(sents: DataFrame, min_count: int) -> DataFrame:
+    """``(word, n)`` of the words that occur ``min_count`` times or more."""
+    return sents.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(
+        F.col("n") >= min_count)
 
 
 def fit_ppmi_svd(sents: DataFrame, dim: int = 100, window: int = 5, min_count: int = 10) -> DataFrame:
