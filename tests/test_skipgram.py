@@ -87,3 +87,27 @@ def test_odd_inputs(spark):
     assert got.keys() == {"only", "x"} and all(len(v) == 4 and np.isfinite(v).all() for v in got.values())
     extra = lone.select("tokens", F.lit(1).alias("n"), F.lit("a").alias("word"))
     assert em.fit_skipgram(extra, dim=4, min_count=1, iters=1).count() == 2
+
+
+def test_unseen_forms_of_a_planted_stem(spark):
+    """``falkon``, ``falkons``, ``falkoner`` stand among one topic's words, ``brumitz`` and its forms among another's."""
+    rng = np.random.default_rng(5)
+    topics = [(["falkon", "falkons", "falkoner"], ["wing", "nest", "claw", "beak"]),
+              (["brumitz", "brumitzen", "brumitzer"], ["rust", "bolt", "gear", "oil"])]
+    rows = []
+    for i in range(400):
+        names, others = topics[i % 2]
+        rows.append(([str(w) for w in (*rng.choice(others, 2), rng.choice(names), *rng.choice(others, 2))],))
+    sents = spark.createDataFrame(rows, "tokens array<string>")
+    buckets, words = em.fit_subword(sents, dim=8, window=2, min_count=5, iters=3)
+    known = {r.word: np.array(r.vec) for r in words.collect()}
+    assert len(known) == 14
+    unseen = spark.createDataFrame([("falkonry",), ("brumitzung",), ("q",)], "word string")
+    got = {r.word: np.array(r.vec) for r in em.subword_vectors(unseen, buckets).collect()}
+    assert got.keys() == {"falkonry", "brumitzung"}  # "<q>" is an n-gram that no known word has
+
+    def near(a, b):
+        return a @ b / np.linalg.norm(a) / np.linalg.norm(b)
+
+    assert near(got["falkonry"], known["falkon"]) > near(got["falkonry"], known["brumitz"]) + 0.3
+    assert near(got["brumitzung"], known["brumitz"]) > near(got["brumitzung"], known["falkon"]) + 0.3

@@ -3,9 +3,9 @@
 * skip-gram with negative sampling: ``operators/skipgram.py``;
 * CBOW, re-aimed: context windows -> co-occurrence counts -> PPMI
   (Levy and Goldberg 2014) -> truncated SVD of the word x context matrix;
-* subword, re-aimed: each character 3..6-gram of ``<word>`` takes its word's
-  PPMI row, the n-gram matrix is factorised the same way, and a word -- also
-  an unseen one -- is the mean of its n-gram vectors.
+* subword: the same training, a word being the mean of its own vector and
+  those of the hash buckets of its character 3..6-grams; an unseen word is the
+  mean of its buckets.
 
 Windows are built with array functions inside each sentence row (no self
 join); co-occurrences are aggregated with partial aggregation.  The SVD
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from textlm.operators.skipgram import train_negative_sampling
 from textlm.operators.svd import svd
 
+BUCKETS = 2_000_000  # of n-grams; two n-grams of one bucket share its vector
+
 
 def context_pairs(sents: DataFrame, window: int = 5) -> DataFrame:
     """``(word, context, n)``: every pair within ``window`` positions, both sides (H4)."""
@@ -77,7 +79,7 @@ def fit_skipgram(sents: DataFrame, dim: int = 100, window: int = 5, min_count: i
                  seed: int = 42, negatives: int = 5) -> DataFrame:
     """``(word, vec array<double>)`` of the words that occur ``min_count`` times or more, by negative sampling (H1)."""
     counts = frequent_counts(sents, min_count)
-    return train_negative_sampling(context_pairs(sents, window), counts, dim, iters, negatives, seed=seed)
+    return train_negative_sampling(context_pairs(sents, window), counts, dim, iters, negatives, seed=seed).select("word", "vec")
 
 
 def frequent_counts(sents: DataFrame, min_count: int) -> DataFrame:
@@ -100,24 +102,46 @@ def ppmi_cells(sents: DataFrame, window: int = 5, min_count: int = 10) -> DataFr
     return ppmi(pairs).select("word", "context", F.col("ppmi").alias("value"))
 
 
-def fit_subword(sents: DataFrame, dim: int = 100, window: int = 5, min_count: int = 10,
-                lo: int = 3, hi: int = 6) -> tuple[DataFrame, DataFrame]:
-    """``(ngram_vectors(ngram, vec), word_vectors(word, vec))`` (H3)."""
-    cells = ppmi_cells(sents, window, min_count)
-    freq = sents.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count("*").alias("f")).where(
-        F.col("f") >= min_count).select("word")
-    gcells = cells.join(char_ngrams(freq, lo, hi), "word").groupBy("ngram", "context").agg(F.avg("value").alias("value"))
-    gvec = svd(gcells, "ngram", dim).rows
-    return gvec, subword_vectors(freq, gvec, lo, hi)
+def ngram_buckets(words: DataFrame, lo: int = 3, hi: int = 6, buckets: int = BUCKETS) -> DataFrame:
+    """``(word, ngram, bucket)``: each character n-gram's bucket, by md5 (H3)."""
+    return char_ngrams(words, lo, hi).withColumn("bucket", bucket_of(F.col("ngram"), buckets))
 
 
-def subword_vectors(words: DataFrame, ngram_vectors: DataFrame, lo: int = 3, hi: int = 6) -> DataFrame:
-    """A word (seen or not) = mean of its known n-gram vectors: ``(word, vec)``.
+def bucket_of(ngram: Column, buckets: int = BUCKETS) -> Column:
+    return F.conv(F.substring(F.md5(ngram), 1, 12), 16, 10).cast("bigint") % F.lit(buckets)
 
-    A group holds the n-grams of one word (bounded by its length).
+
+def fit_subword(sents: DataFrame, dim: int = 100, window: int = 5, min_count: int = 10, lo: int = 3, hi: int = 6,
+                iters: int = 5, seed: int = 42, negatives: int = 5, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
+    """``(bucket_vectors(bucket, vec), word_vectors(word, vec))`` by negative sampling (H3).
+
+    A listed word's vector is the mean of its own and its n-grams' buckets'; ``subword_vectors`` reads the buckets
+    of others.  The table of buckets holds those that some listed word has.
     """
-    g = char_ngrams(words.select("word").distinct(), lo, hi).join(ngram_vectors, "ngram")
-    per = g.groupBy("word").agg(F.collect_list("vec").alias("vs"))
+    counts = frequent_counts(sents, min_count).checkpoint()
+    parts = ngram_buckets(counts, lo, hi, buckets).select("word", F.col("bucket").cast("string").alias("part")).distinct().checkpoint()
+    units = train_negative_sampling(context_pairs(sents, window), counts, dim, iters, negatives, seed=seed, parts=parts)
+    own = units.where("side = 0").select("word", "vec")
+    of_bucket = units.where("side <> 0").select(F.col("word").alias("part"), "vec")
+    held = own.union(parts.join(of_bucket, "part").select("word", "vec"))
+    return of_bucket.select(F.col("part").cast("bigint").alias("bucket"), "vec"), _mean_vectors(held)
+
+
+def subword_vectors(words: DataFrame, ngram_vectors: DataFrame, lo: int = 3, hi: int = 6, buckets: int = BUCKETS) -> DataFrame:
+    """A word (seen or not) = mean of its n-grams' vectors, by n-gram or by bucket: ``(word, vec)``.
+
+    A group holds the n-grams of one word (bounded by its length); a word without any known n-gram gives no row.
+    """
+    words = words.select("word").distinct()
+    if "bucket" in ngram_vectors.columns:
+        held = ngram_buckets(words, lo, hi, buckets).select("word", "bucket").distinct().join(ngram_vectors, "bucket")
+    else:
+        held = char_ngrams(words, lo, hi).join(ngram_vectors, "ngram")
+    return _mean_vectors(held)
+
+
+def _mean_vectors(held: DataFrame) -> DataFrame:
+    per = held.groupBy("word").agg(F.array_sort(F.collect_list("vec")).alias("vs"))  # sorted: the sum hangs on the order
     first = F.element_at("vs", 1)
     zero = F.transform(first, lambda x: F.lit(0.0))
     total = F.aggregate("vs", zero, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
