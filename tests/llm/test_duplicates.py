@@ -186,3 +186,33 @@ def test_chunks_cover_texts_and_fall_into_step():
         assert words[here].sum() == len(x.split()) and chars[here].sum() == len(x.decode())
         sets.append({joined[i:j] for i, j in zip(a[here], b[here], strict=True)})
     assert len(sets[0] & sets[1]) >= len(sets[0]) - 3 and (b - a).max() <= chunks.MAX_CHUNK
+
+
+def test_needed_words_reach_all_that_is_shared(words):
+    """Beside a run of shared chunks no more words are shared than are asked for, but where another anchor is."""
+    rnd = random.Random(51)
+    said = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    gear, most = chunks.gear_table(), 0
+    for _ in range(300):
+        p = said(rnd.randint(20, 70))
+        data = [f"{said(rnd.randint(0, 30))} {p} {said(rnd.randint(0, 30))}".strip().encode() for _ in range(2)]
+        starts = np.array([0, len(data[0])])
+        text, a, b, _, _, n_words, edges = chunks._chunk_buffer(np.frombuffer(b"".join(data), np.uint8), starts, gear)
+        left, right = chunks._needs(*edges)
+        joined = b"".join(data)
+        piece = [joined[i:j] for i, j in zip(a, b, strict=True)]
+        other = {piece[i]: i for i in np.flatnonzero(text == 1)}
+        mine = [i for i in np.flatnonzero(text == 0) if piece[i] in other]
+        for i in mine:
+            o = other[piece[i]]
+            if i + 1 not in mine and right[i] < chunks.BESIDE:
+                x, y = data[0][b[i]:].split(), data[1][b[o] - starts[1]:].split()
+                same = next((k for k, (s, t) in enumerate(zip(x, y, strict=False)) if s != t), min(len(x), len(y)))
+                later = any(n_words[j] >= chunks.CHUNK_WORDS for j in mine if j > i)
+                assert same <= right[i] or later
+                most = max(most, same)
+            if i - 1 not in mine and left[i] < chunks.BESIDE:
+                x, y = data[0][:a[i]].split()[::-1], data[1][:a[o] - starts[1]].split()[::-1]
+                same = next((k for k, (s, t) in enumerate(zip(x, y, strict=False)) if s != t), min(len(x), len(y)))
+                assert same <= left[i]
+    assert most > 5
