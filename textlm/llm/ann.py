@@ -6,12 +6,16 @@ shard's index is one sorted array per random projection.  Around a query's
 projections, windows grow step by step (virtual rehashing: the same arrays at
 a wider radius); a vector that lies in at least ``THRESHOLD`` of the windows
 has collided often enough and is a candidate.  Windows grow until the
-candidates are five times the wanted ones plus ``SHARE`` of the shard; candidates are then
+candidates are five times the wanted ones plus a share of the shard; candidates are then
 verified by their exact inner product.  The best of each shard are merged.
 
+The share starts at ``SHARE``.  How much is enough hangs on dimension and spread,
+so each task measures the recall of ``PROBES`` of its queries against all vectors
+of its shard and doubles the share until ``RECALL`` is reached (the whole shard at most).
+
 Largest inner product becomes least distance by one more coordinate that
-brings all vectors to the length of the longest.  Every row is indexed and no
-part of the answer hangs on a sample; ``SHARE`` sets the recall (README).
+brings all vectors to the length of the longest.  Every row is indexed; only the
+share hangs on a sample of the queries.
 
 Defined cases: vectors null, empty, zero or with null or non-finite parts, and
 rows without vec_id, take no part; of repeated vec_ids the smallest vector
@@ -29,6 +33,8 @@ K = 20
 PROJECTIONS = 64
 THRESHOLD = 38
 SHARE = 0.18
+RECALL = 0.92
+PROBES = 32
 SHARD_ROWS = 4096
 QUERY_BLOCK = 2048
 FIRST, STEP, RADII = 0.8, 1.25, 14  # the windows' first radius, their growth, and how many there are
@@ -84,6 +90,22 @@ class ShardIndex:
         return found
 
 
+def enough_candidates(index: ShardIndex, queries: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: int, share: float) -> int:
+    """How many candidates of the shard find ``RECALL`` of the ``k`` nearest, measured on ``PROBES`` of the queries."""
+    n = len(index.vectors)
+    probes = np.unique(np.linspace(0, len(queries) - 1, PROBES).astype(np.int64))
+    scores = queries[probes] @ index.vectors.T
+    nearest = np.argpartition(-scores, min(k, n) - 1, axis=1)[:, :k]
+    while share < 1.0:
+        wanted = 5 * k + int(share * n)
+        found = sum(np.isin(near, index.candidates(lo[:, :, i], hi[:, :, i], wanted)).sum()
+                    for i, near in zip(probes.tolist(), nearest, strict=True))
+        if wanted >= n or found >= RECALL * nearest.size:
+            return wanted
+        share *= 2
+    return n
+
+
 def _search(k: int, share: float, longest: float):
     names = ["query_id", "vec_id", "score"]
 
@@ -94,8 +116,9 @@ def _search(k: int, share: float, longest: float):
             ids, vectors = shard.column("vec_id").to_numpy(), matrix(shard)
             by_id = np.argsort(ids, kind="stable")
             ids, index = ids[by_id], ShardIndex(vectors[by_id], longest)
-            asked, wanted = matrix(queries), 5 * k + int(share * len(ids))
+            asked = matrix(queries)
             lo, hi = index.windows(asked)
+            wanted = enough_candidates(index, asked, lo, hi, k, share)
             for i, (q, vector) in enumerate(zip(queries.column("vec_id").to_numpy(), asked, strict=True)):
                 at = index.candidates(lo[:, :, i], hi[:, :, i], wanted)
                 at = at[ids[at] != q]
