@@ -24,18 +24,66 @@ from textlm.operators.svd import svd
 BUCKETS = 2_000_000  # of n-grams; two n-grams of one bucket share its vector
 
 
+SEPARATOR = "\x1f"  # between the words of a place; both tokenisers split there, so no token holds it
+HOT_SHARE = 1000  # a word with more than one token in so many is hot: fewer than 1,000 words
+
+
+def hot_words(sents: DataFrame) -> list[str]:
+    """The words that hold more than one token in ``HOT_SHARE``, from exact counts; what a pair is grouped by hangs on them, never its count."""
+    counts = sents.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    found = counts.crossJoin(F.broadcast(total)).where(F.col("n") * HOT_SHARE > F.col("total")).select("word").collect()
+    return sorted(r.word for r in found)
+
+
+def unordered_pairs(sents: DataFrame, window: int = 5) -> DataFrame:
+    """``(word, context, n)``: each pair within ``window`` positions once, whichever word comes first.
+
+    A place travels as one row with the words it is paired with, not as a row a pair, and is
+    grouped by its word.  Of two words the smaller one takes the pair, or the one that is not
+    hot: so no hot word's places gather in one task.  Pairs of two hot words are few and are
+    summed before they are shuffled.  A token that holds ``SEPARATOR`` is an error.
+    """
+    hot = hot_words(sents)
+    t, h = F.col("tokens"), F.col("hot")
+    sents = sents.select(F.when(F.instr(F.array_join(t, ""), SEPARATOR) == 0, t).otherwise(
+        F.raise_error(F.lit("a token holds the separator U+001F"))).alias("tokens"))
+    marked = sents.where(F.size("tokens") > 1).select("tokens", F.transform("tokens", lambda x: x.isin(hot) if hot else F.lit(False)).alias("hot"))
+    n = F.size(t)
+
+    def others(i: Column, first: Column, keep) -> Column:
+        near = F.sequence(first, F.least(n - 1, i + window))
+        return F.transform(F.filter(near, lambda j: (j != i) & keep(j)), lambda j: F.get(t, j))
+
+    def taken(i: Column) -> Column:
+        w = F.get(t, i)
+        return others(i, F.greatest(F.lit(0), i - window), lambda j: F.get(h, j) | (F.get(t, j) > w) | ((F.get(t, j) == w) & (j > i)))
+
+    def places(of_hot: bool):
+        return F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get(h, i) == F.lit(of_hot))
+
+    rare = marked.select(F.inline(F.transform(places(False), lambda i: F.struct(F.get(t, i).alias("word"), taken(i).alias("others"))))) \
+        .where(F.size("others") > 0).select("word", F.array_join("others", SEPARATOR).alias("others")).repartition("word")
+    rare = rare.select("word", F.explode(F.split("others", SEPARATOR)).alias("context")).groupBy("word", "context").agg(F.count("*").alias("n"))
+    both = marked.select(F.explode(F.flatten(F.transform(places(True), lambda i: F.transform(
+        others(i, F.least(i + 1, n - 1), lambda j: F.get(h, j)),
+        lambda c: F.struct(F.least(F.get(t, i), c).alias("word"), F.greatest(F.get(t, i), c).alias("context")))))).alias("p"))
+    both = both.select("p.word", "p.context").groupBy("word", "context").agg(F.count("*").alias("n"))
+    return rare.unionByName(both) if hot else rare
+
+
+def both_ways(pairs: DataFrame, value: str = "n", twins: int = 2) -> DataFrame:
+    """``(word, context, value)`` from pairs held once; a word beside itself counts ``twins`` times."""
+    w, c, v = F.col("word"), F.col("context"), F.col(value)
+    one = F.struct(w.alias("word"), c.alias("context"), v.alias(value))
+    back = F.struct(c.alias("word"), w.alias("context"), v.alias(value))
+    own = F.struct(w.alias("word"), c.alias("context"), (v * twins).alias(value))
+    return pairs.select(F.inline(F.when(w == c, F.array(own)).otherwise(F.array(one, back))))
+
+
 def context_pairs(sents: DataFrame, window: int = 5) -> DataFrame:
     """``(word, context, n)``: every pair within ``window`` positions, both sides (H4)."""
-    t = F.col("tokens")
-    n = F.size(t)
-    per_pos = F.transform(
-        F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.transform(
-            F.filter(F.sequence(F.greatest(F.lit(0), i - window), F.least(n - 1, i + window)), lambda j: j != i),
-            lambda j: F.struct(F.element_at(t, i + 1).alias("word"), F.element_at(t, j + 1).alias("context"))),
-    )
-    pairs = sents.select(F.inline(F.flatten(per_pos)))
-    return pairs.groupBy("word", "context").agg(F.count("*").alias("n"))
+    return both_ways(unordered_pairs(sents, window))
 
 
 def cbow_examples(sents: DataFrame, keys: tuple[str, ...], window: int = 5) -> DataFrame:
