@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textlm.operators.ngram import TrigramModel
+from textlm.operators.ngram import TrigramModel, context_key
 from textlm.operators.rownum import global_cumsum, global_row_number
 
 
@@ -81,14 +81,20 @@ def _unigram_draw(unknown: DataFrame, model: TrigramModel, keys: tuple[str, ...]
 def generate_argmax(seeds: DataFrame, model: TrigramModel, keys: tuple[str, ...], seed: int = 42) -> DataFrame:
     """Most frequent continuation (ties: smaller word); unknown context -> word at a
     seeded uniform position of the word index (D8)."""
-    best = model.tri.groupBy("w1", "w2").agg(F.min(F.struct((-F.col("c")).alias("neg"), "w3")).alias("b")).select(
-        "w1", "w2", F.col("b.w3").alias("next_word"))
+    smallest = F.min(F.struct((-F.col("c")).alias("neg"), "next_word")).alias("b")
     s = seeds.withColumn("u", _u(seed, keys))
-    known = s.join(best, ["w1", "w2"], "inner").select(*keys, "w1", "w2", "next_word",
-                                                       F.lit(True).alias("from_context"))
-    unknown = s.join(best.select("w1", "w2"), ["w1", "w2"], "left_anti")
-    windex = global_row_number(model.uni.select("word", "n"), [F.col("n").desc(), F.col("word").asc()], "id")
-    v = model.meta.select("vocab_size")
+    if model.keyed is not None:  # a model fitted here: no probabilities, a context as one number
+        best = model.keyed.where(F.col("ctx") != 0).select("ctx", "c", F.col("word").alias("next_word")).groupBy("ctx").agg(smallest)
+        s, on = s.withColumn("ctx", context_key(F.col("w1"), F.col("w2"))), ["ctx"]
+        vocab = model.keyed.groupBy("word").agg(F.sum("c").alias("n"))
+    else:
+        best = model.tri.select("w1", "w2", "c", F.col("w3").alias("next_word")).groupBy("w1", "w2").agg(smallest)
+        on, vocab = ["w1", "w2"], model.uni.select("word", "n")
+    best = best.select(*on, F.col("b.next_word").alias("next_word"))
+    known = s.join(best, on, "inner").select(*keys, "w1", "w2", "next_word", F.lit(True).alias("from_context"))
+    unknown = s.join(best.select(*on), on, "left_anti")
+    windex = global_row_number(vocab, [F.col("n").desc(), F.col("word").asc()], "id")
+    v = windex.agg(F.count("*").alias("vocab_size"))
     pick = unknown.crossJoin(F.broadcast(v)).withColumn("id", F.floor(F.col("u") * F.col("vocab_size")).cast("bigint"))
     fallback = pick.join(windex.select("id", F.col("word").alias("next_word")), "id").select(
         *keys, "w1", "w2", "next_word", F.lit(False).alias("from_context"))

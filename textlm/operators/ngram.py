@@ -163,7 +163,11 @@ def score_tokens(test: DataFrame, model: TrigramModel, keep: tuple[str, ...], k:
     Back-off: seen trigram -> ``c / sum(c)``; else known word -> unigram;
     else ``0.99 / corpus_size``.  A trigram hit raises neither counter.
     """
-    grams = kgrams(test, k, keep)
+    return score_grams(kgrams(test, k, keep), model, keep)
+
+
+def score_grams(grams: DataFrame, model: TrigramModel, keep: tuple[str, ...]) -> DataFrame:
+    """``score_tokens`` of ``(*keep, pos, w1, w2, w3)``."""
     if model.keyed is not None:
         return _score_keyed(grams, model.keyed, keep)
     found = grams.join(model.tri.select("w1", "w2", "w3", F.col("p").alias("p_tri")), ["w1", "w2", "w3"], "left")

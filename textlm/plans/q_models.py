@@ -132,7 +132,7 @@ def q_validation_loss(spark: SparkSession, sf: str) -> DataFrame:
     val = sq.tail_split(seq, ["doc_id", "line", "pos"], VAL_FRAC).where(F.col("split") == "val")
     grams = ngram.kgrams(run.train, keep=KEYS)
     words = val.select(*KEYS, "pos").join(grams, [*KEYS, "pos"])
-    scored = words.join(run.model.tri.select("w1", "w2", "w3", "p"), ["w1", "w2", "w3"], "left")
+    scored = ngram.score_grams(words, run.model, (*KEYS,))  # the model's own corpus: every trigram is found
     seeds = words.select(*KEYS, "pos", "w1", "w2")
     best = generate_argmax(seeds, run.model, (*KEYS, "pos")).select(*KEYS, "pos", "next_word")
     j = scored.join(best, [*KEYS, "pos"], "left")
