@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from textlm.operators.ngram import TrigramModel, context_key
 from textlm.operators.rownum import global_cumsum, global_row_number
+from textlm.sources.tables import BROADCAST_MAX_ROWS
 
 
 def seed_contexts(sents: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -37,25 +38,34 @@ def _buckets(lo: Column, hi: Column, width: Column) -> Column:
 
 def generate_sample(seeds: DataFrame, model: TrigramModel, keys: tuple[str, ...], seed: int = 42) -> DataFrame:
     """``(*keys, w1, w2, next_word, from_context)``."""
+    s = seeds.withColumn("u", _u(seed, keys))
+    if model.keyed is not None:  # a model fitted here: a context is one number
+        s, on = s.withColumn("ctx", context_key(F.col("w1"), F.col("w2"))), ["ctx"]
+        tri = model.keyed.where(F.col("ctx") != 0).select("ctx", F.col("word").alias("w3"), "c")
+    else:
+        on, tri = ["w1", "w2"], model.tri.select("w1", "w2", "w3", "c")
+    asked = s.select(*on).distinct()
+    few = asked.count() <= BROADCAST_MAX_ROWS
+    # the counts of contexts that a seed has; while these go to the tasks, others are left out before the counts are shuffled
+    tri = tri.join(F.broadcast(asked) if few else asked, on, "left_semi")
     # prefix sums over all continuations, less what lies before the context: a hot context spreads over partitions
-    cum = global_cumsum(model.tri.select("w1", "w2", "w3", "c"), ["w1", "w2", "w3"], "c", "before")
-    ctx_tot = cum.groupBy("w1", "w2").agg(
+    cum = global_cumsum(tri, [*on, "w3"], "c", "before")
+    ctx_tot = cum.groupBy(*on).agg(
         F.sum("c").alias("total"), F.min("before").alias("start"),
         F.greatest(F.lit(1), F.ceil(F.sum("c") / F.count("*"))).cast("bigint").alias("width"))
-    tri = cum.join(ctx_tot, ["w1", "w2"]).withColumn("lo", F.col("before") - F.col("start")).withColumn(
+    tri = cum.join(ctx_tot, on).withColumn("lo", F.col("before") - F.col("start")).withColumn(
         "hi", F.col("lo") + F.col("c"))
     ctx_tot = ctx_tot.drop("start")
 
-    s = seeds.withColumn("u", _u(seed, keys))
-    known = s.join(ctx_tot, ["w1", "w2"], "inner")
+    known = s.join(ctx_tot, on, "inner")
     known = known.withColumn("t", F.floor(F.col("u") * F.col("total")).cast("bigint")).withColumn(
         "bucket", F.floor(F.col("t") / F.col("width")).cast("bigint"))
-    cells = tri.select("w1", "w2", "w3", "lo", "hi",
+    cells = tri.select(*on, "w3", "lo", "hi",
                        F.explode(_buckets(F.col("lo"), F.col("hi"), F.col("width"))).alias("bucket"))
-    hit = known.join(cells, ["w1", "w2", "bucket"]).where((F.col("t") >= F.col("lo")) & (F.col("t") < F.col("hi")))
+    hit = known.join(cells, [*on, "bucket"]).where((F.col("t") >= F.col("lo")) & (F.col("t") < F.col("hi")))
     from_ctx = hit.select(*keys, "w1", "w2", F.col("w3").alias("next_word"), F.lit(True).alias("from_context"))
 
-    unknown = s.join(ctx_tot.select("w1", "w2"), ["w1", "w2"], "left_anti")
+    unknown = s.join(ctx_tot.select(*on), on, "left_anti")
     return from_ctx.unionByName(_unigram_draw(unknown, model, keys))
 
 
@@ -67,7 +77,7 @@ def _u(seed: int, keys: tuple[str, ...]) -> Column:
 def _unigram_draw(unknown: DataFrame, model: TrigramModel, keys: tuple[str, ...]) -> DataFrame:
     vocab = model.uni.select("word", "n")
     cum = global_cumsum(vocab, ["word"], "n", "lo")
-    meta = model.meta.select("corpus_size", "vocab_size")
+    meta = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("corpus_size"), F.count("*").alias("vocab_size"))
     cum = cum.crossJoin(F.broadcast(meta)).withColumn("hi", F.col("lo") + F.col("n")).withColumn(
         "width", F.greatest(F.lit(1), F.ceil(F.col("corpus_size") / F.col("vocab_size"))).cast("bigint"))
     cells = cum.select("word", "lo", "hi", F.explode(_buckets(F.col("lo"), F.col("hi"), F.col("width"))).alias("bucket"))
