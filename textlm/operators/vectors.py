@@ -61,30 +61,59 @@ def _topn_schema() -> T.StructType:
 
 
 def _partition_topn(q_words: list[str], q_unit: np.ndarray, n: int):
-    """Per-partition running top-n per query, ties by word; at most ``n`` are held."""
+    """Per-partition running top-n per query, ties by ``rank``; at most ``n`` are held beside those that wait to be compared.
+
+    Rows are held as numbers: a similarity is looked at again only if it reaches the ``n``-th best that its query holds so far.
+    """
 
     chunk = max(1, SCORE_CELLS // max(1, len(q_words)))  # rows scored at once
+    of_word: dict[str, list[int]] = {}
+    for i, word in enumerate(q_words):
+        of_word.setdefault(word, []).append(i)
 
     def run(batches):
-        best_s = np.full((len(q_words), 0), -np.inf)
-        best_w = np.empty((len(q_words), 0), dtype=object)
-        qw = np.asarray(q_words, dtype=object)
+        words, ranks, seen = [], [], 0
+        held = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))]  # query, similarity, row
+        floor, waiting = np.full(len(q_words), -np.inf), 0
+
+        def best() -> None:
+            nonlocal held, waiting
+            q, s, at = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((np.concatenate(ranks)[at] if ranks else at, -s, q))
+            q, s, at = q[order], s[order], at[order]
+            first = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, np.int64)
+            place = np.arange(len(q)) - np.repeat(first, np.diff(first, append=len(q)))
+            floor[q[place == n - 1]] = s[place == n - 1]
+            keep = place < n
+            held, waiting = [(q[keep], s[keep], at[keep])], 0
+
         for pdf in batches:
+            words.append(pdf["word"].to_numpy(dtype=object))
+            ranks.append(pdf["_rank"].to_numpy(np.int64))
             for lo in range(0, len(pdf), chunk):
                 part = pdf.iloc[lo:lo + chunk]
                 v = np.stack(part["vec"].to_numpy()).astype(np.float64)
                 nv = np.linalg.norm(v, axis=1, keepdims=True)
                 u = np.divide(v, nv, out=np.zeros_like(v), where=nv > 0)
                 s = q_unit @ u.T  # (queries, rows)
-                words = part["word"].to_numpy(dtype=object)
-                s[np.equal.outer(qw, words)] = -np.inf  # self excluded
-                best_s = np.concatenate([best_s, s], axis=1)
-                best_w = np.concatenate([best_w, np.broadcast_to(words, s.shape)], axis=1)
-                best_s, best_w = _cut(best_s, best_w, n)
-        rows = [(q_words[i], best_w[i, j], float(best_s[i, j]))
-                for i in range(len(q_words)) for j in range(best_s.shape[1]) if np.isfinite(best_s[i, j])]
-        if rows:
-            yield pd.DataFrame(rows, columns=["query", "neighbor", "similarity"])
+                for j, word in enumerate(words[-1][lo:lo + chunk]):
+                    for i in of_word.get(word, ()):
+                        s[i, j] = np.nan  # self excluded
+                if not seen and s.shape[1] > n:  # no query's n-th best lies below its n-th best of the first rows
+                    np.maximum(floor, np.partition(np.nan_to_num(s, nan=-np.inf), s.shape[1] - n, axis=1)[:, s.shape[1] - n], out=floor)
+                q, j = np.nonzero(s >= floor[:, None])
+                found = s[q, j]
+                if not np.isfinite(found).all():
+                    q, j, found = (x[np.isfinite(found)] for x in (q, j, found))
+                held.append((q, found, seen + j))
+                seen += s.shape[1]
+                waiting += len(q)
+                if waiting > max(SCORE_CELLS // 8, len(q_words) * n):
+                    best()
+        best()
+        (q, s, at), every = held[0], np.concatenate(words) if words else np.zeros(0, object)
+        if len(q):
+            yield pd.DataFrame({"query": np.asarray(q_words, dtype=object)[q], "neighbor": every[at], "similarity": s})
 
     return run
 
@@ -114,14 +143,16 @@ def most_similar(queries: DataFrame, vectors: DataFrame, n: int = 10) -> DataFra
     final merge ranks at most ``n x partitions`` candidates per query.
     Output ``(query, neighbor, similarity, rank)``; ties by neighbour word.
     """
+    from textlm.operators.rownum import global_row_number
+
     spark = vectors.sparkSession
     total = queries.count()
     parts = []
+    vectors = global_row_number(vectors.select("word", "vec"), ["word"], "_rank",
+                                partitions=spark.sparkContext.defaultParallelism)  # stored; a block's scan is a task a core, and finds its best once in each
     if total <= MAX_QUERY_BLOCK:
         blocks = [queries]
     else:
-        from textlm.operators.rownum import global_row_number
-
         numbered = global_row_number(queries.select("word", "vec"), ["word"], "qi")
         blocks = [numbered.where((F.col("qi") >= lo) & (F.col("qi") < lo + MAX_QUERY_BLOCK))
                   for lo in range(0, total, MAX_QUERY_BLOCK)]
@@ -134,7 +165,7 @@ def most_similar(queries: DataFrame, vectors: DataFrame, n: int = 10) -> DataFra
         nq = np.linalg.norm(q, axis=1, keepdims=True)
         q_unit = np.divide(q, nq, out=np.zeros_like(q), where=nq > 0)
         fn = _partition_topn(q_words, q_unit, n)
-        parts.append(vectors.select("word", "vec").mapInPandas(fn, _topn_schema()))
+        parts.append(vectors.select("word", "vec", "_rank").mapInPandas(fn, _topn_schema()))
     if not parts:
         return spark.createDataFrame([], _topn_schema()).withColumn("rank", F.lit(0))
     cand = parts[0]
